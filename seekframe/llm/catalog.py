@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekframe.llm import bpe
+from seekframe.llm import ann, bpe, mixing, topk, url_filter
 
 #: The folder of the public tokenizer files on every machine; a parameter of the queries that need one.
 TOKENIZERS = "/opt/tokenizers"
@@ -17,13 +17,112 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (verdict, host, path): the rules of op6.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), (5, 2, 1), 3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer, ids=False, decoded=False)
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_bpe": op9_bpe}
+    return {
+        "op2_mix": op2_mix,
+        "op4_ann": op4_ann,
+        "op6_url_filter": op6_url_filter,
+        "op9_bpe": op9_bpe,
+        "op10_top_k": op10_top_k,
+    }
+
+
+OP2_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS h, length(text) AS chars,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents
+), keyed AS (
+  SELECT doc_id, source, h, size,
+         -ln((('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, '') || '|' || h), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+         / CASE WHEN chars / greatest(size, 1)::DOUBLE BETWEEN 3 AND 12 THEN 1::DOUBLE ELSE 0.5::DOUBLE END AS key
+  FROM rows
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS s, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
+  FROM keyed GROUP BY source
+), ratios AS (
+  SELECT *, 3 * s / w AS ratio, sum(s) OVER () AS total,
+         coalesce(sum(3 * s) OVER (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+         sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_from
+  FROM sources
+), capped AS (
+  SELECT *, ratio <= (total - cap_before) / w_from AS is_capped FROM ratios
+), shares AS (
+  SELECT source, s, CASE WHEN is_capped THEN (3 * s)::DOUBLE
+    ELSE w * (total - coalesce(sum(CASE WHEN is_capped THEN 3 * s END) OVER (), 0))::DOUBLE / sum(CASE WHEN NOT is_capped THEN w END) OVER () END AS target
+  FROM capped
+), budgets AS (
+  SELECT source, s, target, CASE WHEN s = 0 THEN 0 ELSE floor(target / s) END::BIGINT AS epochs FROM shares
+), ordered AS (
+  SELECT k.doc_id, k.size, b.s AS source_size, b.target, b.epochs,
+         floor(b.target - b.epochs * b.s + 0.5)::BIGINT AS budget,
+         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM keyed k JOIN budgets b ON k.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - start)))::BIGINT AS taken FROM ordered
+"""
+
+OP6_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), judged AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM split
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
+"""
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+  WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), scored AS (
+  SELECT a.id AS query_id, b.id AS vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mix": OP2_SQL, "op6_url_filter": OP6_SQL, "op10_top_k": OP10_SQL}
