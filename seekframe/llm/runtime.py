@@ -7,6 +7,7 @@ folder of our own is chosen only where none is set, as in tests.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,3 +68,9 @@ def utf8_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         end = min(max(end, first + 1), len(texts))
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that only a cut lineage still named."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
