@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from seekframe.llm import vector_search as vs
 
-TREES, LEAF = 16, 32
+SHARD_ROWS = 16384
+TREES, LEAF = 16, 128
 #: The share of a shard's distinct vectors that a query meets, and the least number of them.
-FRACTION, LEAST = 0.6, 1000
+FRACTION, LEAST = 0.5, 2000
 
 
 class Forest:
@@ -96,7 +97,7 @@ def nearest(table: DataFrame, queries, k: int = 20, *, id_col: str = "vec_id", v
     """query_id, rank, vec_id and score of the k nearest found to each row that ``queries`` (a column) marks."""
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), queries.alias("asks"))
     rows = rows.where(vs.usable(F.col("v"), zero=False) & F.col("id").isNotNull())
-    tagged, asked, shards, _ = vs.dealt(rows, F.coalesce(F.col("asks"), F.lit(False)))
+    tagged, asked, shards, _ = vs.dealt(rows, F.coalesce(F.col("asks"), F.lit(False)), SHARD_ROWS)
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -108,7 +109,7 @@ def nearest(table: DataFrame, queries, k: int = 20, *, id_col: str = "vec_id", v
             wanted = max(least, int(fraction * len(shard.vectors)))
             for query_id, q in zip(left.column("id").to_pylist(), vs.matrix(left.column("v")), strict=True):
                 met = forest.candidates(q * (scale / np.linalg.norm(q)), wanted)
-                found.append((query_id, *shard.best(query_id, met, (shard.vectors[met] * q).sum(1), k)))
+                found.append((query_id, *shard.best(query_id, met, shard.vectors[met] @ q, k)))
         return vs.found_table(found)
 
     return vs.merged(vs.each_shard(tagged.drop("asks"), asked.drop("asks"), search), k, "double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekframe.llm import ann, bpe, mixing, topk, url_filter
+from seekframe.llm import ann, bpe, mixing, suffix_dedup, topk, url_filter
 
 #: The folder of the public tokenizer files on every machine; a parameter of the queries that need one.
 TOKENIZERS = "/opt/tokenizers"
@@ -32,6 +32,11 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400, kept=False)
+    return done.select("doc_id", *[F.col(f"dedup_{a}").alias(b) for a, b in (("bytes", "n_bytes"), ("removed", "n_removed"), ("spans", "n_spans"), ("sha256", "kept_sha256"))])
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -51,6 +56,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix": op2_mix,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_ann": op4_ann,
         "op6_url_filter": op6_url_filter,
         "op9_bpe": op9_bpe,

@@ -13,8 +13,8 @@ text of n bytes has about 2n / (width - core) of them.
    own.  If these bytes occur twice, all their windows are repeated; if the core occurs
    once, none is.  Counting combines before it shuffles, so a passage in a third of all
    texts is no hot spot.
-2. What is left are anchors at the edges of repeats.  Their bytes are gathered by core, in
-   bounded buckets, and sorted there: suffixes from the anchor on and, backwards, prefixes
+2. What is left are anchors at the edges of repeats.  Their bytes, and those of one anchor
+   for each of the strings found in 1, are gathered by core, in bounded buckets, and sorted there: suffixes from the anchor on and, backwards, prefixes
    up to it, each by a mergesort whose comparisons find the common extension by a binary
    search over prefix polynomial hashes.  Extensions of neighbours are verified on the bytes
    themselves.  A window is repeated if another one stands with it in one class of both
@@ -253,13 +253,16 @@ def repeated_ranges(keyed: DataFrame, width: int, core: int) -> tuple[DataFrame,
     """Per row key the places of anchors all of whose windows are repeated, and the ranges found at edges."""
     spark = keyed.sparkSession
     anchors = keyed.select("k1", "k2", "t").mapInArrow(_anchor_rows(width, core), "k1 bigint, k2 int, core bigint, owned bigint, place bigint")
-    pairs = anchors.groupBy("core", "owned").agg(F.count(F.lit(1)).alias("n"))
-    cores = pairs.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core")
-    twice = pairs.where("n > 1").select("core", "owned", F.lit(True).alias("whole"))
-    judged = anchors.join(cores, "core", "left_semi").join(twice, ["core", "owned"], "left")
+    me = F.xxhash64("k1", "k2", "place")
+    pairs = anchors.groupBy("core", "owned").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("lead"))
+    cores = pairs.groupBy("core").agg(F.sum("n").alias("n"), (F.count(F.lit(1)) > 1).alias("mixed")).where("n > 1").select("core", "mixed")
+    twice = pairs.where("n > 1").select("core", "owned", "lead")
+    judged = anchors.join(cores, "core").join(twice, ["core", "owned"], "left")
+    # one anchor stands for all whose windows are the same: others at this core may share some of them
+    shown = F.col("lead").isNull() | (F.col("mixed") & (F.col("lead") == me))
     status = judged.groupBy("k1", "k2").agg(
-        F.collect_list(F.when(F.col("whole"), F.col("place"))).alias("whole"),
-        F.collect_list(F.when(F.col("whole").isNull(), F.struct("core", "place"))).alias("edges"),
+        F.collect_list(F.when(F.col("lead").isNotNull(), F.col("place"))).alias("whole"),
+        F.collect_list(F.when(shown, F.struct("core", "place"))).alias("edges"),
     )
     status = materialise(status, "dedup-anchors")
     release(spark)

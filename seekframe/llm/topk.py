@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from seekframe.llm import vector_search as vs
 from seekframe.llm.runtime import materialise
 
-LEAF = 128
+SHARD_ROWS, LEAF = 4096, 128
 
 
 class BallTree:
@@ -101,7 +101,7 @@ def top_k(table: DataFrame, queries: Column, k: int = 20, *, id_col: str = "vec_
     vector = F.col(vector_col).cast("array<double>")
     rows = table.where(vs.usable(vector, zero=True) & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), quantised(vector, scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    tagged, asked, shards, _ = vs.dealt(rows, F.col("asks"))
+    tagged, asked, shards, _ = vs.dealt(rows, F.col("asks"), SHARD_ROWS)
     tagged, asked = tagged.drop("asks"), asked.drop("asks").withColumn("bound", F.lit(float("-inf")))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:

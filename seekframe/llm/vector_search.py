@@ -1,6 +1,6 @@
 """What the two vector searches share: usable rows, shards, and merging what shards found.
 
-Candidates are dealt by a hash of their id into shards of about ``SHARD_ROWS``; queries
+Candidates are dealt by a hash of their id into shards of about some thousands; queries
 into blocks of about ``BLOCK_ROWS``.  A task sees one shard and one block, so its memory
 is bounded, and rows of one very common vector are spread over all shards.  Within a
 shard equal vectors are kept once with their ids in order.
@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 4096
 BLOCK_ROWS = 4096
 FOUND = "query_id bigint, vec_ids array<bigint>, scores array<double>"
 
@@ -68,13 +67,13 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(flat), -1)
 
 
-def dealt(vectors: DataFrame, queries: Column) -> tuple[DataFrame, DataFrame, int, int]:
+def dealt(vectors: DataFrame, queries: Column, shard_rows: int) -> tuple[DataFrame, DataFrame, int, int]:
     """Candidates (with ``shard``), queries (with ``block`` and their home ``shard``), and how many of each.
 
     ``vectors`` has ``id`` and ``v``.  Vectors of different lengths are never compared.
     """
     counts = vectors.agg(F.count(F.lit(1)), F.count(F.when(queries, 1))).first()
-    shards, blocks = max(1, math.ceil(counts[0] / SHARD_ROWS)), max(1, math.ceil(counts[1] / BLOCK_ROWS))
+    shards, blocks = max(1, math.ceil(counts[0] / shard_rows)), max(1, math.ceil(counts[1] / BLOCK_ROWS))
     tagged = vectors.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     asked = tagged.where(queries).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
     return tagged, asked, shards, blocks
