@@ -91,7 +91,7 @@ def _anchor_rows(width: int, core: int):
             for a, b, data, offsets in utf8_chunks(batch.column("t")):
                 of, first, last, anchor, cores, owned = anchors_of(data, offsets, width, core)
                 where = ((first - offsets[of]) << 20) | ((anchor - first) << 10) | (anchor - last)
-                keys = batch.slice(a, b - a).take(pa.array(of))
+                keys = batch.select(["k1", "k2"]).slice(a, b - a).take(pa.array(of))
                 yield pa.RecordBatch.from_arrays(
                     [keys.column("k1"), keys.column("k2"), pa.array(cores.view(np.int64)), pa.array(owned.view(np.int64)), pa.array(where)],
                     ["k1", "k2", "core", "owned", "place"],
