@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekframe.llm import ann, bpe, mixing, suffix_dedup, topk, url_filter
+from seekframe.llm import ann, bpe, lang_id, mixing, near_dup, suffix_dedup, topk, url_filter
 
 #: The folder of the public tokenizer files on every machine; a parameter of the queries that need one.
 TOKENIZERS = "/opt/tokenizers"
@@ -27,6 +27,10 @@ URL_RULES = [
 ]
 
 
+def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), (5, 2, 1), 3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -41,6 +45,11 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "keep")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -55,9 +64,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lang_id": op1_lang_id,
         "op2_mix": op2_mix,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_ann": op4_ann,
+        "op5_near_dup": op5_near_dup,
         "op6_url_filter": op6_url_filter,
         "op9_bpe": op9_bpe,
         "op10_top_k": op10_top_k,
