@@ -19,7 +19,8 @@ text of n bytes has about 2n / (width - core) of them.
    search over prefix polynomial hashes.  Extensions of neighbours are verified on the bytes
    themselves.  A window is repeated if another one stands with it in one class of both
    orders.  A core with more anchors than a bucket holds is split; windows that are single
-   in their part are compared across parts by a digest.
+   in their part are compared across parts, first by what neighbouring ones share, then by
+   a digest of their own.
 3. Texts are joined with the ranges found.
 
 Results: a null text is empty; a text shorter than ``width`` loses nothing.  Repeated rows
@@ -197,11 +198,21 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [*zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
 
 
-OPEN = "k1 bigint, k2 int, a bigint, b bigint, d1 bigint, d2 bigint"
+#: Windows of a split core that are compared across parts under one key, the bytes they all have.
+TIER = 8
+OPEN = "k1 bigint, k2 int, a bigint, b bigint, t1 bigint, t2 bigint, windows array<struct<a:bigint,d1:bigint,d2:bigint>>"
+
+
+def _digest(data: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
 def _resolve(width: int):
-    """Ranges [a, b) of repeated bytes; in a part of a split core also its single windows and one of each class, with digests."""
+    """Ranges [a, b) of repeated bytes; in a part of a split core also its single windows and one of each class.
+
+    These come in tiers: ``TIER`` neighbouring windows with the digest of the bytes they share, and their own.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -212,15 +223,19 @@ def _resolve(width: int):
         found, leads = repeated_windows(fragments, place, width)
         rows = []
         for i, (flags, lead) in enumerate(zip(found, leads, strict=True)):
-            first = int(place[i]) >> 20
-            rows += [(k1[i], k2[i], first + a, first + b - 1 + width, None, None) for a, b in _runs(flags)]
+            first, most = int(place[i]) >> 20, (int(place[i]) >> 10) & 1023
+            rows += [(k1[i], k2[i], first + a, first + b - 1 + width, None, None, None) for a, b in _runs(flags)]
             if split:
-                for s in np.flatnonzero(~flags | lead):
-                    d = hashlib.blake2b(fragments[i][s : s + width], digest_size=16).digest()
-                    rows.append((k1[i], k2[i], first + int(s), first + int(s) + width, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
-        columns = [*zip(*rows, strict=True)] or [[]] * 6
-        types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k1", "k2", "a", "b", "d1", "d2"])
+                tiers: dict[int, list] = {}
+                for s in np.flatnonzero(~flags | lead).tolist():
+                    tiers.setdefault((most - s) // TIER, []).append({"a": first + s, **dict(zip(("d1", "d2"), _digest(fragments[i][s : s + width]), strict=True))})
+                for t, windows in tiers.items():
+                    key = fragments[i][most - t * TIER : most + width - t * TIER - TIER + 1]
+                    rows.append((k1[i], k2[i], None, None, *_digest(key), windows))
+        columns = [*zip(*rows, strict=True)] or [[]] * 7
+        window = pa.list_(pa.struct([("a", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())]))
+        types = [pa.int64(), pa.int32(), *[pa.int64()] * 4, window]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k1", "k2", "a", "b", "t1", "t2", "windows"])
 
     return run
 
@@ -255,7 +270,10 @@ def repeated_ranges(keyed: DataFrame, width: int, core: int) -> tuple[DataFrame,
     anchors = keyed.select("k1", "k2", "t").mapInArrow(_anchor_rows(width, core), "k1 bigint, k2 int, core bigint, owned bigint, place bigint")
     me = F.xxhash64("k1", "k2", "place")
     pairs = anchors.groupBy("core", "owned").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("lead"))
-    cores = pairs.groupBy("core").agg(F.sum("n").alias("n"), (F.count(F.lit(1)) > 1).alias("mixed")).where("n > 1").select("core", "mixed")
+    # tables, so that both sides of the joins below are dealt out by an exchange of their own and a hot core can be split
+    pairs = materialise(pairs, "dedup-pairs")
+    cores = materialise(pairs.groupBy("core").agg(F.sum("n").alias("n"), (F.count(F.lit(1)) > 1).alias("mixed")).where("n > 1").select("core", "mixed"), "dedup-cores")
+    release(spark)
     twice = pairs.where("n > 1").select("core", "owned", "lead")
     judged = anchors.join(cores, "core").join(twice, ["core", "owned"], "left")
     # one anchor stands for all whose windows are the same: others at this core may share some of them
@@ -278,9 +296,10 @@ def repeated_ranges(keyed: DataFrame, width: int, core: int) -> tuple[DataFrame,
     dealt = dealt.withColumn("bucket", F.when(F.col("part") >= 0, F.col("core")).otherwise(F.pmod(F.xxhash64("core"), F.lit(max(1, math.ceil(count / BUCKET))))))
     resolved = materialise(dealt.drop("n").groupBy("bucket", "part").applyInArrow(_resolve(width), OPEN), "dedup-resolved")
     release(spark)
-    single = resolved.where(F.col("d1").isNotNull())
-    again = single.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2")
-    ranges = resolved.where(F.col("d1").isNull()).select("k1", "k2", "a", "b").unionByName(single.join(again, ["d1", "d2"], "left_semi").select("k1", "k2", "a", "b"))
+    twice_in = lambda df, *key: df.join(df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), [*key], "left_semi")
+    tiers = twice_in(resolved.where(F.col("t1").isNotNull()).select("k1", "k2", "t1", "t2", "windows"), "t1", "t2")
+    single = twice_in(tiers.select("k1", "k2", F.explode("windows").alias("w")).select("k1", "k2", "w.a", "w.d1", "w.d2"), "d1", "d2")
+    ranges = resolved.where(F.col("t1").isNull()).select("k1", "k2", "a", "b").unionByName(single.select("k1", "k2", "a", (F.col("a") + width).alias("b")))
     return status.select("k1", "k2", "whole"), ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
 
