@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekframe.llm import ann, bpe, lang_id, mixing, near_dup, suffix_dedup, topk, url_filter
+from seekframe.llm import ann, bpe, lang_id, mixing, near_dup, suffix_dedup, topk, url_filter, warc
+from seekframe.llm.runtime import new_path
 
 #: The folder of the public tokenizer files on every machine; a parameter of the queries that need one.
 TOKENIZERS = "/opt/tokenizers"
@@ -54,6 +55,17 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), folder)
+    # of responses the payload itself is measured; of revisits the header says what it was
+    full = warc.load(spark, folder, ["record_type", "page_id", "payload"]).where(F.col("record_type") == "response")
+    full = full.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    heads = warc.load(spark, folder, ["record_type", "page_id", "payload_bytes", "payload_digest", "refers_to"]).where(F.col("record_type") == "revisit")
+    heads = heads.select("page_id", "payload_bytes", "payload_digest", "record_type", warc.referred_page(F.col("refers_to")).alias("refers_to"))
+    return full.unionByName(heads)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer, ids=False, decoded=False)
 
@@ -70,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ann": op4_ann,
         "op5_near_dup": op5_near_dup,
         "op6_url_filter": op6_url_filter,
+        "op7_warc": op7_warc,
         "op9_bpe": op9_bpe,
         "op10_top_k": op10_top_k,
     }
@@ -127,6 +140,20 @@ WITH parts AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
 """
 
+OP7_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hex FROM pages
+), r AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM p
+)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + (((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM r
+"""
+
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id AS id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
@@ -142,4 +169,4 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": OP2_SQL, "op6_url_filter": OP6_SQL, "op10_top_k": OP10_SQL}
+    return {"op2_mix": OP2_SQL, "op6_url_filter": OP6_SQL, "op7_warc": OP7_SQL, "op10_top_k": OP10_SQL}
