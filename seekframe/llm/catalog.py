@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekframe.llm import ann, bpe, lang_id, mixing, near_dup, suffix_dedup, topk, url_filter, warc
+from seekframe.llm import ann, bpe, html_extract, lang_id, mixing, near_dup, suffix_dedup, topk, url_filter, warc
 from seekframe.llm.runtime import new_path
 
 #: The folder of the public tokenizer files on every machine; a parameter of the queries that need one.
@@ -66,6 +66,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.unionByName(heads)
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer, ids=False, decoded=False)
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_near_dup": op5_near_dup,
         "op6_url_filter": op6_url_filter,
         "op7_warc": op7_warc,
+        "op8_html": op8_html,
         "op9_bpe": op9_bpe,
         "op10_top_k": op10_top_k,
     }

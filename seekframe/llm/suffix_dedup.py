@@ -317,7 +317,8 @@ def removed_flags(size: int, whole: list[int], ranges: list[tuple[int, int]], wi
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, core: int | None = None, *, id_col: str = "doc_id", text_col: str = "text", kept: bool = True) -> DataFrame:
-    """``docs`` with dedup_bytes, dedup_removed, dedup_spans, dedup_sha256 and, if ``kept``, dedup_kept (the bytes left).
+    """``docs`` with dedup_bytes, dedup_removed, dedup_spans, dedup_sha256 and, if ``kept``, dedup_kept
+    (the bytes left) and dedup_text (their whole characters).
 
     Columns of ``docs`` named k1, k2, t, whole or ranges are passed through under their names too.
     """
@@ -329,7 +330,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, core: int | None = None,
     whole, ranges = repeated_ranges(keyed, width, core)
     joined = keyed.join(whole, ["k1", "k2"], "left").join(ranges, ["k1", "k2"], "left").select("row", "t", "whole", "ranges")
     row = joined.schema["row"].dataType.simpleString()
-    schema = f"row {row}, n_bytes bigint, n_removed bigint, n_spans bigint, sha string" + ", kept binary" * kept
+    schema = f"row {row}, n_bytes bigint, n_removed bigint, n_spans bigint, sha string" + ", kept binary, whole_text string" * kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,8 +346,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, core: int | None = None,
             columns = [*zip(*out, strict=True)] or [[]] * 5
             types = [pa.int64()] * 3 + [pa.string(), pa.binary()]
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)][: 5 if kept else 4]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *arrays], ["row", "n_bytes", "n_removed", "n_spans", "sha", "kept"][: 1 + len(arrays)])
+            if kept:
+                arrays.append(pa.array([c.decode("utf-8", "ignore") for c in columns[4]], pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *arrays], ["row", "n_bytes", "n_removed", "n_spans", "sha", "kept", "whole_text"][: 1 + len(arrays)])
 
     done = joined.mapInArrow(run, schema)
-    names = {"n_bytes": "dedup_bytes", "n_removed": "dedup_removed", "n_spans": "dedup_spans", "sha": "dedup_sha256"} | ({"kept": "dedup_kept"} if kept else {})
+    names = {"n_bytes": "dedup_bytes", "n_removed": "dedup_removed", "n_spans": "dedup_spans", "sha": "dedup_sha256"} | ({"kept": "dedup_kept", "whole_text": "dedup_text"} if kept else {})
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *[F.col(a).alias(b) for a, b in names.items()])
