@@ -24,6 +24,8 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from seekframe.llm.runtime import text_batches
+
 #: Words whose ids are remembered; the memory is emptied when it is full.
 REMEMBERED_WORDS = 300_000
 
@@ -171,6 +173,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     ``n_tokens``, ``ids_sha256``, ``decoded`` and ``decoded_sha256``; ``ids`` and
     ``decoded`` can be left out.
     """
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
 

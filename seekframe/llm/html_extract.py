@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seekframe.llm.runtime import text_batches
 from seekframe.llm.url_filter import split_url
 
 LEAST_PAGES = 8
@@ -239,6 +240,7 @@ def templates(rows: DataFrame, least_pages: int) -> DataFrame:
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, local_tokens: int = LOCAL_TOKENS) -> DataFrame:
     """The id, url, text and n_chars of each page."""
+    text_batches(pages.sparkSession)
     host, _ = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     found = templates(rows.where("host <> ''").select("host", F.pmod(F.xxhash64("id", "html"), F.lit(PRIME)).alias("salt"), "html"), least_pages)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekframe.llm.rolling import U, mix
-from seekframe.llm.runtime import utf8_chunks
+from seekframe.llm.runtime import text_batches, utf8_chunks
 
 DIM, GRAMS = 4096, (1, 2, 3)
 #: The classifier is fitted on about so many rows of each language, drawn by a hash of the id.
@@ -129,6 +129,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """A model from about ``per_lang`` rows of each language; only their n-gram counts reach the driver."""
+    text_batches(labelled.sparkSession)
     sizes = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col)).agg(F.count(F.lit(1))).collect()}
     if not sizes:
         return fit_model([], np.zeros((0, DIM)))

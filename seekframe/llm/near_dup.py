@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekframe.llm.rolling import U, mix
-from seekframe.llm.runtime import materialise, release, utf8_chunks
+from seekframe.llm.runtime import materialise, release, text_batches, utf8_chunks
 from seekframe.llm.shingles import ID_BITS, lowered, shingle_counts
 
 WIDTH, LEAST = 5, 0.8
@@ -207,6 +207,7 @@ def linked(docs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFr
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id, node (digest of the text), class_id, class_size and keep for each row of ``docs``."""
+    text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("node"), text.alias("t"))
     kind = keyed.schema["id"].dataType.simpleString()

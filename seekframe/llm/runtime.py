@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes that one numpy pass looks at; a longer text is a pass of its own.
 CHUNK_BYTES = 1 << 19
+#: Rows of texts in an Arrow batch.
+TEXT_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +39,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python in smaller batches than Spark's default of 10,000.
+
+    A batch is held by the executor and by its worker at once; texts have kilobytes.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there."""
     path = new_path(df.sparkSession, name)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekframe.llm.rolling import U, common_extension, prefix_hash, span_hash, window_hash
-from seekframe.llm.runtime import materialise, release, utf8_chunks
+from seekframe.llm.runtime import materialise, release, text_batches, utf8_chunks
 
 WIDTH, CORE = 400, 100
 #: Fragments in a bucket, and those of one core beyond which it is split.
@@ -323,6 +323,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, core: int | None = None,
     Columns of ``docs`` named k1, k2, t, whole or ranges are passed through under their names too.
     """
     core = core or max(1, width // 4)
+    text_batches(docs.sparkSession)
     if width >= 1024:
         raise ValueError("a window of 1024 bytes or more doesn't fit the packed places")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("row_id"), F.col(text_col).alias("row_text"))
