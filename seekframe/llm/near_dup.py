@@ -11,8 +11,9 @@ Signatures are cut into bands; texts that agree in a band are candidates.  Candi
 band are compared with one hub of the band, not with each other, and exactly, on their
 texts: they are linked if their probability Jaccard similarity, or the plain one of the
 shingle sets, is at least ``least``.  Links join texts into classes.  As long as a band
-still holds texts of different classes that were not compared, the next hub is compared
-with the others, so no link between candidates is lost; failed pairs are not tried twice.
+still holds texts of different classes that were not compared, further hubs are compared
+with the others, one at first, then more, so no link between candidates is lost.  Texts of
+one class are not compared again, and failed pairs not tried twice.
 
 Exact copies of a text are one node throughout, so their number costs nothing; they are
 in one class by definition.
@@ -39,6 +40,10 @@ from seekframe.llm.shingles import ID_BITS, lowered, shingle_counts
 WIDTH, LEAST = 5, 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.99995 at 0.8.
 BANDS, ROWS = 25, 5
+#: After so many rounds with one hub for each band, all of up to so many texts left in a band are hubs.
+HUB_ROUNDS, FEW = 2, 48
+#: Of more texts about so many are, and twice as many in each further round.
+HUBS = 32
 
 
 def prob_min_hash(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -167,18 +172,26 @@ def linked(docs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFr
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     open_ = materialise(banded.join(shared, "band"), "near-open")
     release(spark)
-    tried = links = labels = None
-    texts = None
+    tried = links = labels = texts = None
+    turn = 0
     while True:
-        state = open_ if labels is None else open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if labels is None:
-            state = state.withColumn("label", F.col("node"))
-        bands = state.groupBy("band").agg(F.min("label").alias("low"), F.max(F.struct("label", "node")).alias("top")).where(F.col("low") < F.col("top.label"))
-        bands = bands.select("band", F.col("top.node").alias("hub"), F.col("top.label").alias("hub_label"))
+        turn += 1
         if labels is None:
-            bands = open_.groupBy("band").agg(F.min("node").alias("hub")).withColumn("hub_label", F.col("hub"))
-        rest = materialise(state.join(bands, "band"), "near-round")
-        pairs = rest.where(F.col("label") != F.col("hub_label")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            state = open_.withColumn("label", F.col("node"))
+        else:
+            state = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        bands = state.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max(F.struct("label", "node")).alias("top"))
+        bands = bands.where(F.col("low") < F.col("top.label")).select("band", "n", F.when(F.lit(turn == 1), F.col("low")).otherwise(F.col("top.node")).alias("first"))
+        rest = state.join(bands, "band")
+        if turn <= HUB_ROUNDS:
+            is_hub = F.col("node") == F.col("first")
+        else:
+            is_hub = (F.col("n") <= FEW) | (F.pmod(F.xxhash64("node", F.lit(turn)), F.col("n")) < HUBS << (turn - HUB_ROUNDS - 1))
+        rest = materialise(rest.select("band", "node", "label", is_hub.alias("is_hub")), "near-round")
+        hubs = rest.where("is_hub").select("band", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+        met = rest.join(hubs, "band").where(F.col("label") != F.col("hub_label"))
+        with_hub = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        pairs = with_hub.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "near-pairs")
@@ -188,8 +201,8 @@ def linked(docs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFr
                 texts = materialise(_texts_of(docs, wanted), "near-texts")
                 release(spark)
             # the hub's text comes last: its row is the one that many pairs share
-            with_a = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("text_b")), "b")
-            with_both = with_a.join(texts.select(F.col("node").alias("a"), F.col("t").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+            with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("text_b")), "b")
+            with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("t").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
             done = materialise(with_both.mapInArrow(_verify(width, least), "a binary, b binary, close boolean"), "near-verified")
             release(spark)
             tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
@@ -198,11 +211,10 @@ def linked(docs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFr
             labels = components(links)
         elif labels is None:
             return spark.createDataFrame([], "node binary, label binary")
-        # a hub has been compared with the whole band and needs no further look there
-        open_ = rest.where(F.col("node") != F.col("hub")).select("node", "band")
+        # a hub has been compared with its whole band and needs no further look there
+        open_ = materialise(rest.where(~F.col("is_hub")).select("node", "band"), "near-open")
         if open_.isEmpty():
             return labels
-        open_ = materialise(open_, "near-open")
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
