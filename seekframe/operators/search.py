@@ -35,7 +35,10 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: Mapping[str, tuple[Column,
     match = (lambda w, t: F.exists(w, lambda x: F.startswith(t, x))) if prefix else (lambda w, t: F.array_contains(w, t))
     one = parts.crossJoin(F.broadcast(wanted))  # one row
     one = one.select("id", "keep", length.alias("length"), *[F.filter(f, lambda t: match(F.col("wanted"), t)).alias(f) for f in fields])
-    tagged = F.flatten(F.array(*[F.transform(f, lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for f, (_, w) in fields.items()]))
+    def tag(field: str, weight: float) -> Column:
+        return F.transform(field, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+
+    tagged = F.flatten(F.array(*[tag(f, w) for f, (_, w) in fields.items()]))
     hits = one.select("id", "keep", "length", F.explode(tagged).alias("x")).select("id", "keep", "length", F.col("x.term").alias("word"), F.col("x.w").alias("w"))
     on = F.startswith(F.col("word"), F.col("term")) if prefix else F.col("word") == F.col("term")
     counts = hits.join(F.broadcast(asked), on).groupBy("query_id", "term", "id", "keep", "length").agg(F.sum("w").alias("f"))
