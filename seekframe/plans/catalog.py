@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekframe.plans import retrieval
+from seekframe.plans import graphs, retrieval
 
 hybrid_search = retrieval.hybrid_search
-_ALL = {**retrieval.QUERIES}
+_ALL = {**retrieval.QUERIES, **graphs.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
