@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekframe.plans import graphs, retrieval
+from seekframe.plans import graphs, retrieval, upkeep
 
 hybrid_search = retrieval.hybrid_search
-_ALL = {**retrieval.QUERIES, **graphs.QUERIES}
+_ALL = {**retrieval.QUERIES, **graphs.QUERIES, **upkeep.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
