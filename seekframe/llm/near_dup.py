@@ -8,12 +8,12 @@ later than every register's first.  Two signatures agree in a register with the
 probability Jaccard similarity of the two texts.
 
 Signatures are cut into bands; texts that agree in a band are candidates.  Candidates of a
-band are compared with one hub of the band, not with each other, and exactly, on their
-texts: they are linked if their probability Jaccard similarity, or the plain one of the
-shingle sets, is at least ``least``.  Links join texts into classes.  As long as a band
-still holds texts of different classes that were not compared, further hubs are compared
-with the others, one at first, then more, so no link between candidates is lost.  Texts of
-one class are not compared again, and failed pairs not tried twice.
+band are compared with one hub of the band (the text that shares bands with most), not with each other, and exactly, on their
+texts: they are linked if their probability Jaccard similarity, or the plain one of the shingle sets, is at
+least ``least``.  Links join texts into classes.  After two rounds with a hub, bands that
+still hold texts of different classes are compared within: a task takes a band, or two
+blocks of a large one, and finds the links between classes through an index of shingles,
+so no link between candidates is lost and no pair leaves a task but a link.
 
 Exact copies of a text are one node throughout, so their number costs nothing; they are
 in one class by definition.
@@ -40,10 +40,10 @@ from seekframe.llm.shingles import ID_BITS, lowered, shingle_counts
 WIDTH, LEAST = 5, 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.99995 at 0.8.
 BANDS, ROWS = 25, 5
-#: After so many rounds with one hub for each band, all of up to so many texts left in a band are hubs.
-HUB_ROUNDS, FEW = 2, 48
-#: Of more texts about so many are, and twice as many in each further round.
-HUBS = 32
+#: Rounds in which a band is compared with one hub; what then still falls apart is compared within bands.
+HUB_ROUNDS = 2
+#: Texts of one band that meet in a task.
+BLOCK = 500
 
 
 def prob_min_hash(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -169,52 +169,97 @@ def linked(docs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFr
     spark = docs.sparkSession
     nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "near-nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    open_ = materialise(banded.join(shared, "band"), "near-open")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(banded.join(shared, "band"), "near-met")
+    # a text that shares its bands with many stands in the middle of its kind: the best hub there is
+    degrees = met.groupBy("node").agg(F.sum("n").alias("degree"))
+    open_ = materialise(met.join(degrees, "node").select("node", "band", "degree"), "near-open")
     release(spark)
-    tried = links = labels = texts = None
-    turn = 0
-    while True:
-        turn += 1
-        if labels is None:
-            state = open_.withColumn("label", F.col("node"))
-        else:
-            state = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        bands = state.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max(F.struct("label", "node")).alias("top"))
-        bands = bands.where(F.col("low") < F.col("top.label")).select("band", "n", F.when(F.lit(turn == 1), F.col("low")).otherwise(F.col("top.node")).alias("first"))
-        rest = state.join(bands, "band")
-        if turn <= HUB_ROUNDS:
-            is_hub = F.col("node") == F.col("first")
+    wanted = open_.select("node").distinct().join(nodes.select("node", "id"), "node")
+    texts = materialise(_texts_of(docs, wanted), "near-texts")
+    release(spark)
+    tried = links = None
+    labels = spark.createDataFrame([], "node binary, label binary")
+    for turn in range(HUB_ROUNDS + 1):
+        state = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        bands = state.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("degree", "node")).alias("top"))
+        bands = bands.where(F.col("low") < F.col("high")).select("band", "n", F.col("top.node").alias("hub"))
+        rest = materialise(state.join(bands, "band"), "near-round")
+        if turn == HUB_ROUNDS:
+            new = _closed(rest, texts, width, least)
         else:
-            is_hub = (F.col("n") <= FEW) | (F.pmod(F.xxhash64("node", F.lit(turn)), F.col("n")) < HUBS << (turn - HUB_ROUNDS - 1))
-        rest = materialise(rest.select("band", "node", "label", is_hub.alias("is_hub")), "near-round")
-        hubs = rest.where("is_hub").select("band", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        met = rest.join(hubs, "band").where(F.col("label") != F.col("hub_label"))
-        with_hub = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        pairs = with_hub.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "near-pairs")
-        if not pairs.isEmpty():
-            if texts is None:
-                wanted = open_.select("node").distinct().join(nodes.select("node", "id"), "node")
-                texts = materialise(_texts_of(docs, wanted), "near-texts")
-                release(spark)
+            hub = rest.where(F.col("node") == F.col("hub")).select("band", F.col("label").alias("hub_label"))
+            pairs = rest.join(hub, "band").where(F.col("label") != F.col("hub_label")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
             # the hub's text comes last: its row is the one that many pairs share
             with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("text_b")), "b")
             with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("t").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
             done = materialise(with_both.mapInArrow(_verify(width, least), "a binary, b binary, close boolean"), "near-verified")
-            release(spark)
             tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
             new = done.where("close").select("a", "b")
+            # a hub has been compared with its whole band and needs no further look there
+            open_ = rest.where(F.col("node") != F.col("hub")).select("node", "band", "degree")
+        release(spark)
+        if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = components(links)
-        elif labels is None:
-            return spark.createDataFrame([], "node binary, label binary")
-        # a hub has been compared with its whole band and needs no further look there
-        open_ = materialise(rest.where(~F.col("is_hub")).select("node", "band"), "near-open")
-        if open_.isEmpty():
-            return labels
+    return labels
+
+
+def _closed(rest: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The links between texts of different classes in one band.
+
+    A task holds one band, or two parts of a large one; it compares through an index of
+    shingles, and gives nothing but links.
+    """
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    met = rest.select("band", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    met = met.select("band", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    found = met.join(texts, "node").groupBy("band", "i", "j").applyInArrow(_links_within(width, least), "a binary, b binary")
+    return materialise(found.distinct(), "near-closed")
+
+
+def _links_within(width: int, least: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, text = table.column("node").to_pylist(), table.column("t").combine_chunks()
+        label = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
+        own = table.column("own").to_numpy()
+        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        n, found = len(node), []
+        if len(set(label.tolist())) > 1:
+            _, _, data, at = next(utf8_chunks(lowered(text), 1 << 62))
+            keys, weight = shingle_counts(data, at, width)
+            doc = (keys >> U(ID_BITS)).astype(np.int64)
+            place = np.unique(keys & U((1 << ID_BITS) - 1), return_inverse=True)[1]
+            share = weight / np.bincount(doc, weights=weight, minlength=n)[doc]
+            size = np.bincount(doc, minlength=n)
+            uneven = np.bincount(doc, weights=weight > 1, minlength=n) > 0
+            by_place = np.argsort(place, kind="stable")
+            begin = np.concatenate([[0], np.cumsum(np.bincount(place))])
+            first = np.concatenate([[0], np.cumsum(size)])
+            apart = np.flatnonzero(label != np.bincount(label).argmax())
+            for o in apart:
+                mine = slice(first[o], first[o + 1])
+                p = place[mine]
+                lengths = begin[p + 1] - begin[p]
+                at_ = by_place[np.repeat(begin[p] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())]
+                shared = np.bincount(doc[at_], minlength=n)
+                other = label != label[o]
+                if across:
+                    other &= own != own[o]
+                close = shared >= least * (size[o] + size - shared)
+                bound = np.bincount(doc[at_], weights=np.minimum(np.repeat(share[mine], lengths), share[at_]), minlength=n)
+                maybe = np.flatnonzero(other & ~close & (uneven | uneven[o]) & (bound >= least))
+                if len(maybe):
+                    exact = similarities(text.take(pa.array(maybe)), text.take(pa.array(np.full(len(maybe), o))), width)
+                    close[maybe[exact >= least]] = True
+                found += [(min(node[o], node[x]), max(node[o], node[x])) for x in np.flatnonzero(other & close)]
+        found = sorted(set(found))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.binary()), "b": pa.array([x[1] for x in found], pa.binary())})
+
+    return run
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
