@@ -127,7 +127,10 @@ def compress(units: DataFrame, query: Column, ratio: float) -> DataFrame:
     lists = ranked.groupBy("id", "total").agg(F.array_sort(F.collect_list(F.struct("rank", "pos", "tokens", "part"))).alias("items"))
     target = F.greatest(F.lit(1).cast("long"), F.floor(F.col("total") * ratio).cast("long"))
     taken = F.array_union(greedy_flags(F.col("items"), target), F.array(F.lit(1).cast("long")))
-    kept = lists.select("id", "total", F.array_sort(F.transform(taken, lambda i: F.element_at(F.col("items"), i.cast("int")).dropFields("rank", "tokens"))).alias("kept"), F.size("items").alias("n"))
-    gap = F.lit("# ...")
-    text = F.array_join(F.transform("kept", lambda k, i: F.when((i > 0) & (F.element_at(F.col("kept"), F.greatest(i, F.lit(1)))["pos"] + 1 < k["pos"]), F.concat(gap, F.lit("\n"), k["part"])).otherwise(k["part"])), "\n\n")
-    return kept.select("id", F.size("kept").cast("long").alias("kept"), text.alias("text"))
+    parts = lists.select("id", F.array_sort(F.transform(taken, lambda i: F.element_at(F.col("items"), i.cast("int")).dropFields("rank", "tokens"))).alias("parts"))
+
+    def shown(part: Column, i: Column) -> Column:
+        before = F.get(F.col("parts"), i - 1)["pos"]
+        return F.when((i > 0) & (before + 1 < part["pos"]), F.concat(F.lit("# ...\n"), part["part"])).otherwise(part["part"])
+
+    return parts.select("id", F.size("parts").cast("long").alias("kept"), F.array_join(F.transform("parts", shown), "\n\n").alias("text"))
