@@ -111,7 +111,7 @@ SELECT * FROM d WHERE density > 0.5"""
 
 
 def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = table(spark, sf_dir, "documents").where("n_chars < 4000").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    units = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return packing.compress(units, T.word_set(F.lit("the erin tion and license")), 0.3)
 
 
@@ -140,13 +140,13 @@ SELECT id, 'section_' || row_number() OVER (PARTITION BY id ORDER BY line_start)
 
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with every fourth line a heading of level 1 to 3."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 500")
+    d = table(spark, sf_dir, "documents")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.repeat(F.lit("#"), (i % 3 + 1).cast("int")), F.lit(" h"), i.cast("string"))).otherwise(F.regexp_replace(x, "^#+", "")))
     return structure.markdown_sections(d.select(F.col("doc_id").alias("id"), F.array_join(lines, "\n").alias("text"))).select("id", "title", "level", "path", "line_start", "line_end")
 
 
 MARKDOWN_SQL = """
-WITH h AS (SELECT doc_id AS id, len(string_split(text, chr(10))) AS n, unnest(range(0, len(string_split(text, chr(10))), 4)) AS i FROM documents WHERE doc_id < 500
+WITH h AS (SELECT doc_id AS id, len(string_split(text, chr(10))) AS n, unnest(range(0, len(string_split(text, chr(10))), 4)) AS i FROM documents
 ), t AS (SELECT id, n, i, i % 3 + 1 AS level, 'h' || i AS title FROM h
 ), p AS (SELECT a.id, a.i, a.n, a.level, a.title, (SELECT min(b.i) FROM t b WHERE b.id = a.id AND b.i > a.i AND b.level <= a.level) AS nxt,
   (SELECT max(b.i) FROM t b WHERE b.id = a.id AND b.i < a.i AND b.level = 1) AS p1, (SELECT max(b.i) FROM t b WHERE b.id = a.id AND b.i < a.i AND b.level = 2) AS p2 FROM t a)
@@ -165,13 +165,13 @@ LINKS_SQL = """SELECT page_id AS id, len(regexp_extract_all(html, 'href="([^"]*)
 def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seekframe.sources import diffs
 
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
+    d = table(spark, sf_dir, "documents")
     text = F.concat(F.lit("+++ b/"), "source", F.lit("\n@@ -1,2 +3 @@ f\n context\n-old "), T.first_line(F.col("text")), F.lit("\n+new one\n@@ -9 +9,4 @@\n+"), F.col("lang"), F.lit("\n"))
     return diffs.hunks(d.select(F.col("doc_id").alias("id"), text.alias("text")))
 
 
 DIFF_SQL = """
-WITH d AS (SELECT doc_id AS id, source AS file, split_part(text, chr(10), 1) AS l, lang FROM documents WHERE doc_id % 10 = 0)
+WITH d AS (SELECT doc_id AS id, source AS file, split_part(text, chr(10), 1) AS l, lang FROM documents)
 SELECT id, file, 1::BIGINT AS hunk, 1::BIGINT AS old_start, 2::BIGINT AS old_count, 3::BIGINT AS new_start, 1::BIGINT AS new_count, 'new one' AS added, 'old ' || l AS removed FROM d
 UNION ALL SELECT id, file, 2, 9, 1, 9, 4, lang, '' FROM d"""
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekframe.plans import assembly, graphs, retrieval, upkeep
+from seekframe.plans import assembly, graphs, retrieval, streams, upkeep
 
 hybrid_search = retrieval.hybrid_search
-_ALL = {**retrieval.QUERIES, **graphs.QUERIES, **upkeep.QUERIES, **assembly.QUERIES}
+_ALL = {**retrieval.QUERIES, **graphs.QUERIES, **upkeep.QUERIES, **assembly.QUERIES, **streams.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -156,13 +156,13 @@ SELECT dst AS id, 'parent' AS way, 0.2::DOUBLE AS score FROM e WHERE src IN ('n:
 
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = table(spark, sf_dir, "part").select(F.concat(F.lit("p:"), "p_partkey").alias("id"), F.concat("p_type", F.lit("/"), "p_brand").alias("grp"))
-    imports = part_edges(spark, sf_dir).where(F.col("src") < "p:11").join(symbols.select(F.col("id").alias("src"), F.col("grp").alias("a")), "src").join(symbols.select(F.col("id").alias("dst"), F.col("grp").alias("b")), "dst")
+    imports = part_edges(spark, sf_dir).join(symbols.select(F.col("id").alias("src"), F.col("grp").alias("a")), "src").join(symbols.select(F.col("id").alias("dst"), F.col("grp").alias("b")), "dst")
     return graph.blast_radius(part_edges(spark, sf_dir), imports.select(F.col("a").alias("src"), F.col("b").alias("dst")), symbols, _seeds(spark, SEEDS))
 
 
 BLAST_SQL = f"""
 WITH {EDGES}, t AS (SELECT col0 AS id FROM (VALUES {_SEED_SQL})), s AS (SELECT 'p:' || p_partkey AS id, p_type || '/' || p_brand AS grp FROM part
-), i AS (SELECT a.grp AS src, b.grp AS dst FROM e JOIN s a ON a.id = e.src JOIN s b ON b.id = e.dst WHERE e.src < 'p:11'
+), i AS (SELECT a.grp AS src, b.grp AS dst FROM e JOIN s a ON a.id = e.src JOIN s b ON b.id = e.dst
 ), f AS (SELECT DISTINCT grp FROM s WHERE id IN (SELECT id FROM t)
 ), x AS (SELECT src AS id, 0 AS way FROM e WHERE dst IN (SELECT id FROM t) UNION ALL SELECT id, 1 FROM s WHERE grp IN (SELECT src FROM i WHERE dst IN (SELECT grp FROM f))
 ), y AS (SELECT id, min(way) AS way FROM x WHERE id NOT IN (SELECT id FROM t) GROUP BY 1)
@@ -229,24 +229,32 @@ SELECT DISTINCT src, dst FROM e JOIN d USING (name) WHERE NOT (dst < 10 AND src
 
 def artifact_linker(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    texts = part.where("p_partkey % 5 = 0").select(F.concat(F.lit("ticket:"), "p_partkey").alias("ref"), F.concat(F.lit("Fix "), "p_name", F.lit(" and "), F.lower(F.regexp_replace("p_brand", "#", "")), F.lit("."), F.regexp_replace("p_name", " ", "_"), F.lit("_"), (F.col("p_partkey") % 97).cast("string"), F.lit(".")).alias("text"))
+    texts = part.select(F.concat(F.lit("ticket:"), "p_partkey").alias("ref"), F.concat(F.lit("Fix "), "p_name", F.lit(" and "), F.lower(F.regexp_replace("p_brand", "#", "")), F.lit("."), F.regexp_replace("p_name", " ", "_"), F.lit("_"), (F.col("p_partkey") % 97).cast("string"), F.lit(".")).alias("text"))
     return resolve.link_texts(texts, part_symbols(spark, sf_dir))
 
 
 LINKER_SQL = f"""
-WITH {SYMBOLS}, t AS (SELECT 'ticket:' || p_partkey AS ref, unnest(regexp_extract_all('Fix ' || p_name || ' and ' || lower(replace(p_brand, '#', '')) || '.' || replace(p_name, ' ', '_') || '_' || (p_partkey % 97) || '.', '[A-Za-z_][A-Za-z0-9_.]{{2,}}')) AS w FROM part WHERE p_partkey % 5 = 0
+WITH {SYMBOLS}, t AS (SELECT 'ticket:' || p_partkey AS ref, unnest(regexp_extract_all('Fix ' || p_name || ' and ' || lower(replace(p_brand, '#', '')) || '.' || replace(p_name, ' ', '_') || '_' || (p_partkey % 97) || '.', '[A-Za-z_][A-Za-z0-9_.]{{2,}}')) AS w FROM part
 ), k AS (SELECT key, min(id) AS symbol_id FROM (SELECT lower(name) AS key, id FROM sym WHERE lower(name) NOT IN ('get','set','run','test','tests','process','update','data','file','files') UNION ALL SELECT lower(qualified_name), id FROM sym) GROUP BY 1)
 SELECT DISTINCT ref, symbol_id FROM t JOIN k ON key = lower(rtrim(w, '.'))"""
 
 
+def _part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_type", "p_brand", F.col("p_size").cast("string")).alias("grp"))
+
+
 def ticket_linker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("commit_id"), F.concat(F.lit("Fix PROJ-"), F.col("o_custkey"), F.lit(" and AB1-2, see UTF-8")).alias("message"), F.array(F.substring_index("o_orderpriority", "-", -1), F.lit("ECONOMY")).alias("files"))
-    return resolve.link_tickets(orders, part_symbols(spark, sf_dir).where("id < 40"))
+    """An order is a commit that touches the files of its parts and names its customer's ticket."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("id"))
+    files = lines.join(_part_files(spark, sf_dir), "id").groupBy("commit_id").agg(F.collect_set("grp").alias("files"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.concat(F.lit("Fix PROJ-"), F.col("o_custkey"), F.lit(" and AB1-2, see UTF-8")).alias("message"))
+    return resolve.link_tickets(orders.join(files, "commit_id"), _part_files(spark, sf_dir))
 
 
-TICKET_SQL = f"""
-WITH {SYMBOLS} SELECT DISTINCT sym.id AS symbol_id, ticket FROM (
-  SELECT unnest(['PROJ-' || o_custkey, 'AB1-2', 'UTF-8']) AS ticket, [split_part(o_orderpriority, '-', -1), 'ECONOMY'] AS files FROM orders WHERE o_orderkey % 3 = 0) JOIN sym ON list_contains(files, grp) WHERE sym.id < 40"""
+TICKET_SQL = """
+WITH f AS (SELECT p_partkey AS id, p_type || '/' || p_brand || '/' || p_size AS grp FROM part
+), c AS (SELECT DISTINCT o_custkey, grp FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN f ON id = l_partkey)
+SELECT DISTINCT id AS symbol_id, unnest(['PROJ-' || o_custkey, 'AB1-2', 'UTF-8']) AS ticket FROM c JOIN f USING (grp)"""
 
 
 def suffix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
