@@ -30,9 +30,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """``imports`` (import_id, specifier) with file_id, by the longest tail of the dotted name that is a file's.
 
     ``files``: file_id, rel_path.  A file answers to its path without extension and to the
-    last three, two and one parts of it; a package directory to its ``__init__`` or ``index``.
+    last three, two and one parts of it; a package directory to its ``__init__``, ``index`` or ``mod.rs``.
     """
-    stem = F.regexp_replace(F.regexp_replace("rel_path", r"\.[A-Za-z0-9]+$", ""), r"/(__init__|index|mod)$", "")
+    stem = F.regexp_replace(F.regexp_replace("rel_path", r"/(__init__\.pyi?|index\.[jt]sx?|mod\.rs)$", ""), r"\.[A-Za-z0-9]+$", "")
     parts = F.split(stem, "/")
     keys = F.array(
         F.struct(F.lit(0).alias("priority"), stem.alias("key")),
