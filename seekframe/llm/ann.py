@@ -28,7 +28,7 @@ from seekframe.llm import vector_search as vs
 SHARD_ROWS = 16384
 TREES, LEAF = 16, 128
 #: The share of a shard's distinct vectors that a query meets, and the least number of them.
-FRACTION, LEAST = 0.5, 2000
+FRACTION, LEAST = 0.6, 2000
 
 
 class Forest:

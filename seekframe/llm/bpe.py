@@ -24,10 +24,10 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from seekframe.llm.runtime import text_batches
+from seekframe.llm.runtime import text_batches, tidy
 
 #: Words whose ids are remembered; the memory is emptied when it is full.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 100_000
 
 # The white space of Unicode, as regular expressions with Unicode classes see it.
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -202,4 +202,4 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)

@@ -179,7 +179,9 @@ def content(page: str, template: frozenset[int] | set[int]) -> str:
     kept = [p for p in pieces if not p.out]
     if any(p.main for p in pieces):
         kept = [p for p in kept if p.main]
-    own = [p for p in kept if p.key == 0 or p.key not in template]
+    # a block is the page's own unless every piece of it is part of the template
+    varied = {p.block for p in kept if p.key and p.key not in template}
+    own = [p for p in kept if p.block in varied]
     # where all pages of a host are alike, what they share is no template
     kept = own if 2 * sum(len(p.text) for p in own) >= sum(len(p.text) for p in kept) else kept
     if kept and not any(p.main for p in pieces):

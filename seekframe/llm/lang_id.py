@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekframe.llm.rolling import U, mix
-from seekframe.llm.runtime import text_batches, utf8_chunks
+from seekframe.llm.runtime import text_batches, tidy, utf8_chunks
 
 DIM, GRAMS = 4096, (1, 2, 3)
 #: The classifier is fitted on about so many rows of each language, drawn by a hash of the id.
@@ -135,7 +135,7 @@ def fit(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_l
         return fit_model([], np.zeros((0, DIM)))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_lang / n))])
     drawn = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) < F.element_at(share, F.col(lang_col)) * 1_000_000)
-    rows = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_counted, "lang string, place array<int>, n array<int>").collect()
+    rows = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(tidy(_counted), "lang string, place array<int>, n array<int>").collect()
     rows.sort(key=lambda r: (r["lang"], r["place"], r["n"]))
     counts = np.zeros((len(rows), DIM))
     for i, r in enumerate(rows):
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     [id_col, "held_out", "lang_pred", "score", "rejected"],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -192,5 +192,5 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 _, _, rejected = model.predict(gram_counts(data, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a).filter(pa.array(~rejected))], ["row"])
 
-    kept = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}")
+    kept = rows.mapInArrow(tidy(run), f"row {rows.schema['row'].dataType.simpleString()}")
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

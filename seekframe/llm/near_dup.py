@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekframe.llm.rolling import U, mix
-from seekframe.llm.runtime import materialise, release, text_batches, utf8_chunks
-from seekframe.llm.shingles import ID_BITS, lowered, shingle_counts
+from seekframe.llm.runtime import materialise, release, text_batches, tidy, utf8_chunks
+from seekframe.llm.shingles import ID_BITS, lowered, shingle_counts, shingles_of
 
 WIDTH, LEAST = 5, 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.99995 at 0.8.
@@ -95,10 +95,7 @@ def _bands(width: int, bands: int, rows: int):
 
 def similarities(one: pa.Array, other: pa.Array, width: int) -> np.ndarray:
     """The larger of probability Jaccard and plain Jaccard similarity of each pair of texts."""
-    out = np.zeros(len(one))
-    (_, _, data_a, at_a), (_, _, data_b, at_b) = (next(utf8_chunks(lowered(t), 1 << 62)) for t in (one, other))
-    key_a, w_a = shingle_counts(data_a, at_a, width)
-    key_b, w_b = shingle_counts(data_b, at_b, width)
+    (key_a, w_a), (key_b, w_b) = shingles_of(one, width), shingles_of(other, width)
     both = np.union1d(key_a, key_b)
     a, b = np.zeros(len(both)), np.zeros(len(both))
     a[np.searchsorted(both, key_a)] = w_a
@@ -130,7 +127,7 @@ def _verify(width: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = np.asarray(pa.compute.add(pa.compute.binary_length(batch.column("text_a")), pa.compute.binary_length(batch.column("text_b"))))
-            chunk = np.cumsum(lengths) // (4 << 20)
+            chunk = np.cumsum(lengths) // (1 << 20)
             for start in np.flatnonzero(np.diff(chunk, prepend=-1)):
                 part = batch.slice(start, int((chunk == chunk[start]).sum()))
                 close = similarities(part.column("text_a"), part.column("text_b"), width) >= least
@@ -194,7 +191,7 @@ def linked(docs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFr
             # the hub's text comes last: its row is the one that many pairs share
             with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("text_b")), "b")
             with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("t").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-            done = materialise(with_both.mapInArrow(_verify(width, least), "a binary, b binary, close boolean"), "near-verified")
+            done = materialise(with_both.mapInArrow(tidy(_verify(width, least)), "a binary, b binary, close boolean"), "near-verified")
             tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
             new = done.where("close").select("a", "b")
             # a hub has been compared with its whole band and needs no further look there
@@ -229,8 +226,7 @@ def _links_within(width: int, least: float):
         across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
         n, found = len(node), []
         if len(set(label.tolist())) > 1:
-            _, _, data, at = next(utf8_chunks(lowered(text), 1 << 62))
-            keys, weight = shingle_counts(data, at, width)
+            keys, weight = shingles_of(text, width)
             doc = (keys >> U(ID_BITS)).astype(np.int64)
             place = np.unique(keys & U((1 << ID_BITS) - 1), return_inverse=True)[1]
             share = weight / np.bincount(doc, weights=weight, minlength=n)[doc]
@@ -268,7 +264,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("node"), text.alias("t"))
     kind = keyed.schema["id"].dataType.simpleString()
-    signed = materialise(keyed.mapInArrow(_bands(width, bands, rows), f"id {kind}, node binary, bands array<bigint>"), "near-signatures")
+    signed = materialise(keyed.mapInArrow(tidy(_bands(width, bands, rows)), f"id {kind}, node binary, bands array<bigint>"), "near-signatures")
     labels = linked(keyed, signed, width, least)
     members = signed.select("id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id"), F.col("node")))

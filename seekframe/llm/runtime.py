@@ -7,17 +7,18 @@ folder of our own is chosen only where none is set, as in tests.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes that one numpy pass looks at; a longer text is a pass of its own.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 #: Rows of texts in an Arrow batch.
 TEXT_ROWS = 1000
 
@@ -84,3 +85,22 @@ def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files that only a cut lineage still named."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers are reused, and keep what they once had otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a partition, after which the worker gives its memory back."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied

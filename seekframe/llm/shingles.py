@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from seekframe.llm.rolling import U, mix, prefix_hash, span_hash
+from seekframe.llm.runtime import utf8_chunks
 
 #: A shingle is known by this many bits of its hash; the rest of a key says which text it is in.
 ID_BITS = 48
@@ -64,3 +65,13 @@ def shingle_counts(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
     new[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(new)
     return keys[at], np.diff(np.append(at, len(keys)))
+
+
+def shingles_of(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_counts of lower-cased texts, chunk by chunk: what is held beside the result is one chunk's."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for first, _, data, offsets in utf8_chunks(lowered(texts)):
+        key, count = shingle_counts(data, offsets, width)
+        keys.append(key + (U(first) << U(ID_BITS)))
+        counts.append(count)
+    return np.concatenate(keys), np.concatenate(counts)

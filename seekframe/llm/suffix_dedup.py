@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekframe.llm.rolling import U, common_extension, prefix_hash, span_hash, window_hash
-from seekframe.llm.runtime import materialise, release, text_batches, utf8_chunks
+from seekframe.llm.runtime import materialise, release, text_batches, tidy, utf8_chunks
 
 WIDTH, CORE = 400, 100
 #: Fragments in a bucket, and those of one core beyond which it is split.
@@ -267,7 +267,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_ranges(keyed: DataFrame, width: int, core: int) -> tuple[DataFrame, DataFrame]:
     """Per row key the places of anchors all of whose windows are repeated, and the ranges found at edges."""
     spark = keyed.sparkSession
-    anchors = keyed.select("k1", "k2", "t").mapInArrow(_anchor_rows(width, core), "k1 bigint, k2 int, core bigint, owned bigint, place bigint")
+    anchors = keyed.select("k1", "k2", "t").mapInArrow(tidy(_anchor_rows(width, core)), "k1 bigint, k2 int, core bigint, owned bigint, place bigint")
     me = F.xxhash64("k1", "k2", "place")
     pairs = anchors.groupBy("core", "owned").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("lead"))
     # tables, so that both sides of the joins below are dealt out by an exchange of their own and a hot core can be split
@@ -287,7 +287,7 @@ def repeated_ranges(keyed: DataFrame, width: int, core: int) -> tuple[DataFrame,
     edges = status.where(F.size("edges") > 0).select("k1", "k2", "edges")
     # repeated rows have one key: the text is needed once, and each row's anchors are listed
     texts = keyed.select("k1", "k2", "t").join(edges, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    pieces = materialise(texts.mapInArrow(_fragments(width), "k1 bigint, k2 int, core bigint, place bigint, bytes binary"), "dedup-edges")
+    pieces = materialise(texts.mapInArrow(tidy(_fragments(width)), "k1 bigint, k2 int, core bigint, place bigint, bytes binary"), "dedup-edges")
     release(spark)
     count = pieces.count()
     hot = pieces.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
@@ -351,6 +351,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, core: int | None = None,
                 arrays.append(pa.array([c.decode("utf-8", "ignore") for c in columns[4]], pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column("row"), *arrays], ["row", "n_bytes", "n_removed", "n_spans", "sha", "kept", "whole_text"][: 1 + len(arrays)])
 
-    done = joined.mapInArrow(run, schema)
+    done = joined.mapInArrow(tidy(run), schema)
     names = {"n_bytes": "dedup_bytes", "n_removed": "dedup_removed", "n_spans": "dedup_spans", "sha": "dedup_sha256"} | ({"kept": "dedup_kept", "whole_text": "dedup_text"} if kept else {})
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *[F.col(a).alias(b) for a, b in names.items()])

@@ -139,4 +139,6 @@ def _dealt(keyed: DataFrame, rules: DataFrame, judged, schema: str) -> DataFrame
         columns = (right.column(c).to_pylist() for c in ("verdict", "host", "path"))
         return judged(left, RuleSweep([*zip(*columns, strict=True)]))
 
-    return urls.groupBy("pair", "part").cogroup(dealt.groupBy("pair", F.col("part").cast("bigint").alias("part"))).applyInArrow(both, schema)
+    urls = urls.select(F.col("pair").alias("pair"), F.col("part").cast("bigint").alias("part"), *[F.col(c).alias(c) for c in urls.columns if c not in ("pair", "part", "parts")])
+    dealt = dealt.select(F.col("pair").alias("pair"), F.col("part").cast("bigint").alias("part"), "verdict", "host", "path")
+    return urls.groupBy("pair", "part").cogroup(dealt.groupBy("pair", "part")).applyInArrow(both, schema)

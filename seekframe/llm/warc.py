@@ -194,15 +194,17 @@ class WarcReader(DataSourceReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    temporary: str
-    final: str
+    """What a task has written, if it had rows."""
+
+    temporary: str = ""
+    final: str = ""
 
 
 class WarcWriter(DataSourceWriter):
     def __init__(self, path: str):
         self.path = path
 
-    def write(self, iterator: Iterator) -> _Written | None:
+    def write(self, iterator: Iterator) -> _Written:
         system, path = pafs.FileSystem.from_uri(self.path)
         name = uuid.uuid4().hex
         message = _Written(f"{path}/.{name}.part", f"{path}/{name}.warc.gz")
@@ -213,7 +215,7 @@ class WarcWriter(DataSourceWriter):
                 stream = system.open_output_stream(message.temporary, compression=None)
             stream.write(record(row.kind, row.page_id, row.uri, bytes(row.payload), row.refers_to))
         if stream is None:
-            return None
+            return _Written()
         stream.close()
         return message
 
@@ -221,13 +223,13 @@ class WarcWriter(DataSourceWriter):
         system, path = pafs.FileSystem.from_uri(self.path)
         system.create_dir(path)
         for m in messages:
-            if m is not None:
+            if m is not None and m.final:
                 system.move(m.temporary, m.final)
 
     def abort(self, messages: list[_Written | None]) -> None:
         system, _ = pafs.FileSystem.from_uri(self.path)
         for m in messages:
-            if m is not None:
+            if m is not None and m.final:
                 system.delete_file(m.temporary)
 
 
