@@ -42,8 +42,9 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: Mapping[str, tuple[Column,
     hits = one.select("id", "keep", "length", F.explode(tagged).alias("x")).select("id", "keep", "length", F.col("x.term").alias("word"), F.col("x.w").alias("w"))
     on = F.startswith(F.col("word"), F.col("term")) if prefix else F.col("word") == F.col("term")
     counts = hits.join(F.broadcast(asked), on).groupBy("query_id", "term", "id", "keep", "length").agg(F.sum("w").alias("f"))
-    found_in = Window.partitionBy("query_id", "term")
-    scored = counts.withColumn("n", F.count(F.lit(1)).over(found_in)).crossJoin(F.broadcast(totals))
+    # one row for each term of a query; a term that stands in most documents is counted before it is shuffled
+    found_in = counts.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    scored = counts.join(F.broadcast(found_in), ["query_id", "term"]).crossJoin(F.broadcast(totals))
     idf = F.greatest(F.lit(IDF_FLOOR), F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     needed = queries.select("query_id", F.size("terms").alias("needed"))
