@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 
 from seekframe.llm.runtime import text_batches, tidy
 
-#: Words whose ids are remembered; the memory is emptied when it is full.
-REMEMBERED_WORDS = 100_000
+#: Chunks between blanks, and words, whose ids are remembered at least; twice as many at most.
+REMEMBERED_CHUNKS, REMEMBERED_WORDS = 40_000, 80_000
+#: Symbols up to which the best pair is looked for in a list, not a heap.
+SHORT = 24
 
 # The white space of Unicode, as regular expressions with Unicode classes see it.
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -41,16 +43,20 @@ def byte_letters() -> list[str]:
 
 
 class _Memory(dict):
-    """word -> its ids and its tokens, both as text."""
+    """key -> what ``make`` makes of it.  A full memory becomes the old one; what is met again moves over from it."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, word: str):
-        if len(self) >= REMEMBERED_WORDS:
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[word] = out = self.make(word)
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
         return out
 
 
@@ -71,7 +77,8 @@ class WordBpe:
         self.words = regex.compile(pattern)
         self.letters = byte_letters()
         self.joined = self._joined_pairs()
-        self._memory = _Memory(self._word)
+        self._memory = _Memory(self._chunk, REMEMBERED_CHUNKS)
+        self._words = _Memory(self._word, REMEMBERED_WORDS)
 
     def _joined_pairs(self) -> set[str]:
         """All pairs of letters that stand side by side inside some token."""
@@ -83,15 +90,29 @@ class WordBpe:
 
     def fragments(self, word: str) -> list[str]:
         """The pieces of ``word`` (in byte letters) between its certain cuts."""
-        joined, cuts = self.joined, [0]
-        cuts += [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
-        return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)]
+        joined = self.joined
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
+        if not cuts:
+            return [word]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Joins the pair of lowest rank, the leftmost first, until none is left: O(n log n)."""
         n, rank = len(symbols), self.rank
         if n < 2:
             return symbols
+        if n <= SHORT:
+            none = len(rank)
+            ranks = [rank.get(pair, none) for pair in zip(symbols, symbols[1:], strict=False)]
+            while ranks and (best := min(ranks)) < none:
+                i = ranks.index(best)
+                symbols[i] += symbols.pop(i + 1)
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rank.get((symbols[i], symbols[i + 1]), none)
+                if i:
+                    ranks[i - 1] = rank.get((symbols[i - 1], symbols[i]), none)
+            return symbols
         left, right = [*range(-1, n - 1)], [*range(1, n + 1)]
         heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get((symbols[i], symbols[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -122,10 +143,17 @@ class WordBpe:
             out += [self.vocab[s] for s in self.merge(symbols)]
         return out
 
-    def _word(self, chunk: str) -> tuple[str, str]:
-        ids = [i for word in self.words.findall(chunk) for i in self.word_ids(word)]
+    def _word(self, word: str) -> tuple[str, str]:
+        ids = self.word_ids(word)
         return " ".join(map(str, ids)), self.decode(ids)
 
+    def _chunk(self, chunk: str) -> tuple[str, str]:
+        """Ids and tokens of what stands between two blanks."""
+        if chunk.isascii() and chunk.isalpha():
+            return self._words[chunk]
+        found = [self._words[word] for word in self.words.findall(chunk)]
+        return " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
+
     def normal(self, text: str) -> str:
         """Composed characters, single spaces, lower case letter by letter."""
         if not text.isascii():
