@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seekframe.llm import ann, bpe, html_extract, lang_id, mixing, near_dup, rolling, suffix_dedup, topk, url_filter, warc
+from seekframe.llm import ann, bpe, html_extract, lang_id, mixing, near_dup, rolling, runtime, suffix_dedup, topk, url_filter, warc
 from seekframe.llm.catalog import TOKENIZERS, URL_RULES
 from seekframe.llm.runtime import new_path, utf8_chunks
 
@@ -42,6 +43,13 @@ def test_chunks_hold_all_rows():
     assert seen == ["ab", "", "", "é" * 10, "z"]
 
 
+def test_tables_left_behind_can_be_deleted(spark):
+    table = runtime.materialise(spark.range(3), "left-behind")
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    assert runtime.clean(spark) >= 1 and not os.path.exists(path)
+
+
 # ---- 1 language identification
 
 
