@@ -42,7 +42,7 @@ WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Rounds in which a band is compared with one hub; what then still falls apart is compared within bands.
 HUB_ROUNDS = 2
-#: Texts of one band that meet in a task.
+#: Texts of one band in a block.
 BLOCK = 500
 
 
@@ -179,14 +179,13 @@ def linked(docs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFr
     labels = spark.createDataFrame([], "node binary, label binary")
     for turn in range(HUB_ROUNDS + 1):
         state = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        bands = state.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("degree", "node")).alias("top"))
-        bands = bands.where(F.col("low") < F.col("high")).select("band", "n", F.col("top.node").alias("hub"))
+        bands = state.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("degree", "node", "label")).alias("top"))
+        bands = bands.where(F.col("low") < F.col("high")).select("band", "n", F.col("top.node").alias("hub"), F.col("top.label").alias("hub_label"))
         rest = materialise(state.join(bands, "band"), "near-round")
         if turn == HUB_ROUNDS:
             new = _closed(rest, texts, width, least)
         else:
-            hub = rest.where(F.col("node") == F.col("hub")).select("band", F.col("label").alias("hub_label"))
-            pairs = rest.join(hub, "band").where(F.col("label") != F.col("hub_label")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            pairs = rest.where(F.col("label") != F.col("hub_label")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
             pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
             # the hub's text comes last: its row is the one that many pairs share
             with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("text_b")), "b")
@@ -206,14 +205,16 @@ def linked(docs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFr
 def _closed(rest: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The links between texts of different classes in one band.
 
-    A task holds one band, or two parts of a large one; it compares through an index of
-    shingles, and gives nothing but links.
+    A task holds a block of a band, and those texts of the whole band that stand apart from
+    its hub's class: it compares these with all of its block through an index of shingles,
+    and gives nothing but links.
     """
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    met = rest.select("band", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    met = met.select("band", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    found = met.join(texts, "node").groupBy("band", "i", "j").applyInArrow(_links_within(width, least), "a binary, b binary")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    apart = F.col("label") != F.col("hub_label")
+    everywhere = F.when(apart, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    met = rest.select("band", "node", "label", apart.alias("apart"), own.alias("own"), F.explode(everywhere).alias("block"))
+    found = met.join(texts, "node").groupBy("band", "block").applyInArrow(_links_within(width, least), "a binary, b binary")
     return materialise(found.distinct(), "near-closed")
 
 
@@ -222,10 +223,10 @@ def _links_within(width: int, least: float):
         table = table.combine_chunks()
         node, text = table.column("node").to_pylist(), table.column("t").combine_chunks()
         label = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
-        own = table.column("own").to_numpy()
-        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        here = table.column("own").to_numpy() == table.column("block").to_numpy()
+        apart = np.flatnonzero(table.column("apart").to_numpy(zero_copy_only=False))
         n, found = len(node), []
-        if len(set(label.tolist())) > 1:
+        if len(apart):
             keys, weight = shingles_of(text, width)
             doc = (keys >> U(ID_BITS)).astype(np.int64)
             place = np.unique(keys & U((1 << ID_BITS) - 1), return_inverse=True)[1]
@@ -235,16 +236,13 @@ def _links_within(width: int, least: float):
             by_place = np.argsort(place, kind="stable")
             begin = np.concatenate([[0], np.cumsum(np.bincount(place))])
             first = np.concatenate([[0], np.cumsum(size)])
-            apart = np.flatnonzero(label != np.bincount(label).argmax())
             for o in apart:
                 mine = slice(first[o], first[o + 1])
                 p = place[mine]
                 lengths = begin[p + 1] - begin[p]
                 at_ = by_place[np.repeat(begin[p] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())]
                 shared = np.bincount(doc[at_], minlength=n)
-                other = label != label[o]
-                if across:
-                    other &= own != own[o]
+                other = here & (label != label[o])
                 close = shared >= least * (size[o] + size - shared)
                 bound = np.bincount(doc[at_], weights=np.minimum(np.repeat(share[mine], lengths), share[at_]), minlength=n)
                 maybe = np.flatnonzero(other & ~close & (uneven | uneven[o]) & (bound >= least))
