@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from seekframe.llm.runtime import text_batches, tidy
 
 #: Chunks between blanks, and words, whose ids are remembered at least; twice as many at most.
-REMEMBERED_CHUNKS, REMEMBERED_WORDS = 40_000, 80_000
+REMEMBERED_CHUNKS, REMEMBERED_WORDS = 80_000, 160_000
 #: Symbols up to which the best pair is looked for in a list, not a heap.
 SHORT = 24
 
@@ -77,42 +77,55 @@ class WordBpe:
         self.words = regex.compile(pattern)
         self.letters = byte_letters()
         self.joined = self._joined_pairs()
+        self.digits = [str(i) for i in range(max(self.token) + 1)]
         self._memory = _Memory(self._chunk, REMEMBERED_CHUNKS)
         self._words = _Memory(self._word, REMEMBERED_WORDS)
 
-    def _joined_pairs(self) -> set[str]:
-        """All pairs of letters that stand side by side inside some token."""
-        out = set()
+    def _joined_pairs(self) -> dict[str, int]:
+        """All pairs of letters that stand side by side inside some token, with the rank of their own merge, if there is one."""
+        out = {}
+        none = len(self.rank)
         for token in self.vocab:
             core = token[: -len(self.suffix)] if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix) else token
-            out.update(core[i : i + 2] for i in range(len(core) - 1))
+            for i in range(len(core) - 1):
+                out[core[i : i + 2]] = self.rank.get((core[i], core[i + 1]), none)
         return out
 
     def fragments(self, word: str) -> list[str]:
         """The pieces of ``word`` (in byte letters) between its certain cuts."""
-        joined = self.joined
-        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
-        if not cuts:
-            return [word]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+        return [word[a:b] for a, b, _ in self._cut(word)]
+
+    def _cut(self, word: str) -> list[tuple[int, int, list[int]]]:
+        """Start, end and ranks of neighbouring letters of each fragment."""
+        get = self.joined.get
+        ranks = [get(word[i : i + 2], -1) for i in range(len(word) - 1)]
+        if -1 not in ranks:
+            return [(0, len(word), ranks)]
+        out, start = [], 0
+        for i, r in enumerate(ranks):
+            if r < 0:
+                out.append((start, i + 1, ranks[start:i]))
+                start = i + 1
+        return [*out, (start, len(word), ranks[start:])]
+
+    def merge_short(self, symbols: list[str], ranks: list[int]) -> list[str]:
+        """``merge`` for a few symbols, given the ranks of neighbours."""
+        rank, none = self.rank.get, len(self.rank)
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            symbols[i] = made = symbols[i] + symbols.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((made, symbols[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], made), none)
+        return symbols
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Joins the pair of lowest rank, the leftmost first, until none is left: O(n log n)."""
         n, rank = len(symbols), self.rank
         if n < 2:
             return symbols
-        if n <= SHORT:
-            none = len(rank)
-            ranks = [rank.get(pair, none) for pair in zip(symbols, symbols[1:], strict=False)]
-            while ranks and (best := min(ranks)) < none:
-                i = ranks.index(best)
-                symbols[i] += symbols.pop(i + 1)
-                del ranks[i]
-                if i < len(ranks):
-                    ranks[i] = rank.get((symbols[i], symbols[i + 1]), none)
-                if i:
-                    ranks[i - 1] = rank.get((symbols[i - 1], symbols[i]), none)
-            return symbols
         left, right = [*range(-1, n - 1)], [*range(1, n + 1)]
         heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get((symbols[i], symbols[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -131,21 +144,33 @@ class WordBpe:
                 heapq.heappush(heap, (r, k, symbols[k], a + b))
         return [s for s in symbols if s]
 
-    def word_ids(self, word: str) -> list[int]:
-        """The ids of one word: bytes to letters, certain cuts, then merges within each fragment."""
-        letters = self.letters
-        pieces = self.fragments("".join([letters[b] for b in word.encode("utf-8")]))
-        out = []
-        for k, piece in enumerate(pieces):
-            symbols = [*piece]
-            if k == len(pieces) - 1:
+    def word_tokens(self, word: str) -> list[str]:
+        """The tokens of one word: bytes to letters, certain cuts, then merges within each fragment."""
+        if not (word.isascii() and word.isalnum()):
+            letters = self.letters
+            word = "".join([letters[b] for b in word.encode("utf-8")])
+        out: list[str] = []
+        last = len(word)
+        for a, b, ranks in self._cut(word):
+            symbols = [*word[a:b]]
+            if b == last:
                 symbols[-1] += self.suffix
-            out += [self.vocab[s] for s in self.merge(symbols)]
+                if ranks and self.suffix:
+                    ranks[-1] = self.rank.get((symbols[-2], symbols[-1]), len(self.rank))
+            if len(symbols) == 1:
+                out += symbols
+            else:
+                out += self.merge_short(symbols, ranks) if len(symbols) <= SHORT else self.merge(symbols)
         return out
 
+    def word_ids(self, word: str) -> list[int]:
+        vocab = self.vocab
+        return [vocab[t] for t in self.word_tokens(word)]
+
     def _word(self, word: str) -> tuple[str, str]:
+        """The ids of a word, and what they decode to."""
         ids = self.word_ids(word)
-        return " ".join(map(str, ids)), self.decode(ids)
+        return " ".join([self.digits[i] for i in ids]), self.decode(ids)
 
     def _chunk(self, chunk: str) -> tuple[str, str]:
         """Ids and tokens of what stands between two blanks."""
