@@ -12,7 +12,7 @@ band are compared with one hub of the band (the text that shares bands with most
 texts: they are linked if their probability Jaccard similarity, or the plain one of the shingle sets, is at
 least ``least``.  Links join texts into classes.  After two rounds with a hub, bands that
 still hold texts of different classes are compared within: a task takes a band, or two
-blocks of a large one, and finds the links between classes through an index of shingles,
+blocks of a large one (so it never holds more than about twice ``BLOCK`` texts), and finds the links between classes through an index of shingles,
 so no link between candidates is lost and no pair leaves a task but a link.
 
 Exact copies of a text are one node throughout, so their number costs nothing; they are
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from seekframe.llm.rolling import U, mix
 from seekframe.llm.runtime import materialise, release, text_batches, tidy, utf8_chunks
-from seekframe.llm.shingles import ID_BITS, lowered, shingle_counts, shingles_of
+from seekframe.llm.shingles import ID_BITS, lowered, packed, shingle_counts, shingles_of
 
 WIDTH, LEAST = 5, 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.99995 at 0.8.
@@ -95,7 +95,8 @@ def _bands(width: int, bands: int, rows: int):
 
 def similarities(one: pa.Array, other: pa.Array, width: int) -> np.ndarray:
     """The larger of probability Jaccard and plain Jaccard similarity of each pair of texts."""
-    (key_a, w_a), (key_b, w_b) = shingles_of(one, width), shingles_of(other, width)
+    (*key_a, w_a), (*key_b, w_b) = shingles_of(one, width), shingles_of(other, width)
+    key_a, key_b = packed(*key_a), packed(*key_b)
     both = np.union1d(key_a, key_b)
     a, b = np.zeros(len(both)), np.zeros(len(both))
     a[np.searchsorted(both, key_a)] = w_a
@@ -205,16 +206,22 @@ def linked(docs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFr
 def _closed(rest: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The links between texts of different classes in one band.
 
-    A task holds a block of a band, and those texts of the whole band that stand apart from
-    its hub's class: it compares these with all of its block through an index of shingles,
-    and gives nothing but links.
+    The texts of a band are dealt out to blocks, and those that stand apart from its hub's
+    class to blocks of their own kind too.  A task holds one block of each, whatever the band
+    holds: it compares the apart ones with all of the other through an index of shingles, and
+    gives nothing but links.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     apart = F.col("label") != F.col("hub_label")
-    everywhere = F.when(apart, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
-    met = rest.select("band", "node", "label", apart.alias("apart"), own.alias("own"), F.explode(everywhere).alias("block"))
-    found = met.join(texts, "node").groupBy("band", "block").applyInArrow(_links_within(width, least), "a binary, b binary")
+    counts = rest.groupBy("band").agg(F.count(F.when(apart, 1)).alias("n_apart"))
+    blocks, kinds = (F.greatest(F.ceil(F.col(c) / BLOCK).cast("int"), F.lit(1)) for c in ("n", "n_apart"))
+    dealt = rest.join(counts, "band").select(
+        "band", "node", "label", blocks.alias("blocks"), kinds.alias("kinds"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.when(apart, F.pmod(F.xxhash64("node", F.lit(1)), kinds)).otherwise(-1).cast("int").alias("own_kind")
+    )
+    among = F.transform(F.sequence(F.lit(0), F.col("kinds") - 1), lambda i: F.struct(i.alias("kind"), F.col("own").alias("block")))
+    against = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.col("own_kind").alias("kind"), i.alias("block")))
+    tasks = F.when(F.col("own_kind") < 0, among).otherwise(F.array_union(among, against))
+    met = dealt.select("band", "node", "label", "own", "own_kind", F.explode(tasks).alias("task")).select("band", "node", "label", "own", "own_kind", "task.kind", "task.block")
+    found = met.join(texts, "node").groupBy("band", "kind", "block").applyInArrow(_links_within(width, least), "a binary, b binary")
     return materialise(found.distinct(), "near-closed")
 
 
@@ -224,12 +231,11 @@ def _links_within(width: int, least: float):
         node, text = table.column("node").to_pylist(), table.column("t").combine_chunks()
         label = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
         here = table.column("own").to_numpy() == table.column("block").to_numpy()
-        apart = np.flatnonzero(table.column("apart").to_numpy(zero_copy_only=False))
+        apart = np.flatnonzero(table.column("own_kind").to_numpy() == table.column("kind").to_numpy())
         n, found = len(node), []
         if len(apart):
-            keys, weight = shingles_of(text, width)
-            doc = (keys >> U(ID_BITS)).astype(np.int64)
-            place = np.unique(keys & U((1 << ID_BITS) - 1), return_inverse=True)[1]
+            doc, shingle, weight = shingles_of(text, width)
+            place = np.unique(shingle, return_inverse=True)[1]
             share = weight / np.bincount(doc, weights=weight, minlength=n)[doc]
             size = np.bincount(doc, minlength=n)
             uneven = np.bincount(doc, weights=weight > 1, minlength=n) > 0

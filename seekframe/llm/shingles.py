@@ -14,6 +14,13 @@ ID_BITS = 48
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+def packed(text: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+    """Keys of text number and shingle; a text number that has no room in a key is an error."""
+    if len(text) and int(text.max()) >> (64 - ID_BITS):
+        raise OverflowError(f"text number {int(text.max())} has no room beside a shingle of {ID_BITS} bits")
+    return (text.astype(np.uint64) << U(ID_BITS)) | shingle
+
+
 def lowered(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts)
 
@@ -53,13 +60,13 @@ def shingle_counts(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
         for j in range(1, width):
             value = value * _STEP + word[j : j + room]
         inside = text[:room] == text[width - 1 :]
-        keys.append((text[:room][inside].astype(np.uint64) << U(ID_BITS)) | (mix(value[inside]) >> U(64 - ID_BITS)))
+        keys.append(packed(text[:room][inside], mix(value[inside]) >> U(64 - ID_BITS)))
     for t in np.flatnonzero((counts > 0) & (counts < width)):
         value = U(counts[t])
         with np.errstate(over="ignore"):
             for h in word[first[t] : first[t] + counts[t]]:
                 value = value * _STEP + h
-        keys.append((np.array([t], np.uint64) << U(ID_BITS)) | (mix(np.array([value], np.uint64)) >> U(64 - ID_BITS)))
+        keys.append(packed(np.array([t]), mix(np.array([value], np.uint64)) >> U(64 - ID_BITS)))
     keys = np.sort(np.concatenate(keys))
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
@@ -67,11 +74,15 @@ def shingle_counts(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
     return keys[at], np.diff(np.append(at, len(keys)))
 
 
-def shingles_of(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """shingle_counts of lower-cased texts, chunk by chunk: what is held beside the result is one chunk's."""
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def shingles_of(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, shingle and count by shingle_counts of lower-cased texts, chunk by chunk: what is held beside the result is one chunk's.
+
+    The text number has an array of its own, so the number of texts is not bounded by a key.
+    """
+    text, shingle, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for first, _, data, offsets in utf8_chunks(lowered(texts)):
         key, count = shingle_counts(data, offsets, width)
-        keys.append(key + (U(first) << U(ID_BITS)))
+        text.append((key >> U(ID_BITS)).astype(np.int64) + first)
+        shingle.append(key & U((1 << ID_BITS) - 1))
         counts.append(count)
-    return np.concatenate(keys), np.concatenate(counts)
+    return np.concatenate(text), np.concatenate(shingle), np.concatenate(counts)

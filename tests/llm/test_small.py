@@ -352,6 +352,38 @@ def test_signatures_estimate_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - p) < 0.04
 
 
+def test_tasks_of_a_band_are_bounded_and_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 20)
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(400)}" for _ in range(40)] for _ in range(60)]
+    texts = [" ".join([*b, f"end{j}"]) for b in base for j in range(5)]
+    node = [hashlib.md5(t.encode()).digest() for t in texts]
+    # one band of 300 texts, 280 of which stand apart from the hub's class
+    label = [node[0] if i < 20 else node[i] for i in range(300)]
+    rest = spark.createDataFrame([(bytearray(n), 1, bytearray(k), 300, bytearray(node[0])) for n, k in zip(node, label, strict=True)], "node binary, band bigint, label binary, n bigint, hub_label binary")
+    table = spark.createDataFrame([(bytearray(n), t) for n, t in zip(node, texts, strict=True)], "node binary, t string")
+    sets = [shingles(t) for t in texts]
+    wanted = {(min(node[i], node[j]), max(node[i], node[j])) for i in range(300) for j in range(i) if label[i] != label[j] and similarity(sets[i], sets[j]) >= 0.8}
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in near_dup._closed(rest, table, 5, 0.8).collect()}
+    assert got == wanted and len(got) == 560
+
+    def sizes(width, least):
+        return lambda part: pa.table({"a": pa.array([os.urandom(8)], pa.binary()), "b": pa.array([part.num_rows.to_bytes(8, "big")], pa.binary())})
+
+    monkeypatch.setattr(near_dup, "_links_within", sizes)
+    assert max(int.from_bytes(r["b"], "big") for r in near_dup._closed(rest, table, 5, 0.8).collect()) < 5 * near_dup.BLOCK
+
+
+def test_text_numbers_beyond_the_key():
+    from seekframe.llm.shingles import packed, shingles_of
+
+    texts = pa.array([f"word number {i}" for i in range(70_000)])
+    number, shingle, count = shingles_of(texts, 5)
+    assert number.tolist() == list(range(70_000)) and len(set(shingle.tolist())) == 70_000 and set(count.tolist()) == {1}
+    with pytest.raises(OverflowError):
+        packed(number, shingle)
+
+
 # ---- 6 url rules
 
 
