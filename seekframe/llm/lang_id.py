@@ -5,7 +5,8 @@ is no letter being a blank), hashed to ``DIM`` places, damped by a logarithm, we
 inverse document frequency and scaled to length one.  Each language has a few centroids,
 found by clustering the vectors of a bounded sample of its labelled rows; a text gets the
 language of the centroid with the largest cosine.  A text farther from its centroid than
-nearly all training texts by a wide margin is rejected.
+all but one in a hundred training texts of about its length is rejected; short texts have
+low cosines, so the limit is fitted on beginnings of training texts too.
 
 Results: a null text, or one without a letter, is ``und`` with score 0, and rejected.  Ties
 go to the language first in order.  With no labelled row to learn from all texts are
@@ -32,8 +33,12 @@ DIM, GRAMS = 4096, (1, 2, 3)
 SAMPLE_PER_LANG = 400
 CENTROIDS = 4
 UNKNOWN = "und"
-#: A text is rejected below this share of the cosine that all but one in a hundred training texts reach.
-REJECT_SHARE, REJECT_QUANTILE = 0.2, 0.01
+#: A text is rejected below the cosine that all but one in a hundred training texts of its level of length reach.
+REJECT_QUANTILE = 0.01
+#: A level of length spans a factor of four in n-grams; one with fewer training texts than LEAST_TEXTS has no limit of its own.
+LEVELS, LEAST_TEXTS = 16, 50
+#: Bytes of the beginnings of training texts on which the limits of short texts are fitted.
+CUTS = (4, 12, 40, 150, 600)
 
 _PLAIN = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
@@ -62,6 +67,10 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.reshape(n, DIM)
 
 
+def level_of(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(counts.sum(1), 1)) / 2, LEVELS - 1).astype(np.int64)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -79,7 +88,7 @@ class Model:
         cosine = self.vectors(counts) @ self.centroids.T
         best = cosine.argmax(1)
         score = cosine[np.arange(len(best)), best]
-        return self.lang_of[best], score, score < self.reject_below[best]
+        return self.lang_of[best], score, score < self.reject_below[level_of(counts)]
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -98,7 +107,23 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarra
     return centre
 
 
-def fit_model(langs: list[str], counts: np.ndarray, centroids: int = CENTROIDS) -> Model:
+def limits(level: np.ndarray, cosine: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The cosine below which a text of each level is rejected; ``whole`` has the cosines of uncut texts."""
+
+    def limit(x: np.ndarray) -> float:
+        return np.quantile(x, REJECT_QUANTILE, method="lower") - 1e-9
+
+    filled = np.flatnonzero(np.bincount(level, minlength=LEVELS) >= LEAST_TEXTS)
+    if not len(filled):
+        return np.full(LEVELS, limit(whole))
+    out = np.zeros(LEVELS)  # shorter texts than were learned from are not judged
+    for at in filled:
+        out[at:] = limit(cosine[level == at])
+    return out
+
+
+def fit_model(langs: list[str], counts: np.ndarray, centroids: int = CENTROIDS, cuts: Iterator[tuple[list[str], np.ndarray]] = ()) -> Model:
+    """A model of texts of ``langs``; ``cuts`` has the languages and counts of beginnings of them, in batches."""
     names = sorted(set(langs))
     seen = (counts > 0).sum(0)
     model = Model(names, np.zeros(0, np.int64), np.zeros((0, DIM)), np.log((1 + len(counts)) / (1 + seen)) + 1, np.zeros(0))
@@ -108,23 +133,44 @@ def fit_model(langs: list[str], counts: np.ndarray, centroids: int = CENTROIDS)
     parts = [cluster(x[own == name], centroids) for name in names]
     model.lang_of = np.repeat(np.arange(len(names)), [len(p) for p in parts])
     model.centroids = np.vstack(parts)
-    cosine = x @ model.centroids.T
-    for i, name in enumerate(names):
-        cosine[np.ix_(own == name, model.lang_of != i)] = -1
-    reach = np.quantile(cosine.max(1), REJECT_QUANTILE)
-    model.reject_below = np.full(len(model.centroids), REJECT_SHARE * reach)
+
+    def reached(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        cosine = x @ model.centroids.T
+        cosine[own[:, None] != np.array(names)[model.lang_of]] = -1
+        return cosine.max(1)
+
+    whole = reached(x, own)
+    level, cosine = [level_of(counts)], [whole]
+    for cut_langs, cut in cuts:
+        level.append(level_of(cut))
+        cosine.append(reached(model.vectors(cut), np.array(cut_langs)))
+    model.reject_below = limits(np.concatenate(level), np.concatenate(cosine), whole)
     return model
 
 
+def beginnings(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which texts are longer than ``size`` bytes, and the first ``size`` of each as (data, offsets)."""
+    longer = np.flatnonzero(np.diff(offsets) > size)
+    return longer, data[(offsets[longer][:, None] + np.arange(size)).ravel()], np.arange(len(longer) + 1) * size
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in utf8_chunks(pc.utf8_lower(batch.column("text"))):
-            langs, counts = batch.column("lang").slice(a, b - a), gram_counts(data, offsets)
-            places = [np.flatnonzero(row) for row in counts]
-            yield pa.RecordBatch.from_arrays(
-                [langs, pa.array([p.astype(np.int32) for p in places], pa.list_(pa.int32())), pa.array([r[p].astype(np.int32) for r, p in zip(counts, places, strict=True)], pa.list_(pa.int32()))],
-                ["lang", "place", "n"],
-            )
+            langs = batch.column("lang").slice(a, b - a)
+            for size in (0, *CUTS):
+                rows, *part = beginnings(data, offsets, size) if size else (np.arange(b - a), data, offsets)
+                counts = gram_counts(*part)
+                places = [np.flatnonzero(row) for row in counts]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        langs.take(pa.array(rows)),
+                        pa.array(np.full(len(rows), size, np.int32)),
+                        pa.array([p.astype(np.int32) for p in places], pa.list_(pa.int32())),
+                        pa.array([r[p].astype(np.int32) for r, p in zip(counts, places, strict=True)], pa.list_(pa.int32())),
+                    ],
+                    ["lang", "cut", "place", "n"],
+                )
 
 
 def fit(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE_PER_LANG) -> Model:
@@ -135,12 +181,17 @@ def fit(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_l
         return fit_model([], np.zeros((0, DIM)))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_lang / n))])
     drawn = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) < F.element_at(share, F.col(lang_col)) * 1_000_000)
-    rows = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(tidy(_counted), "lang string, place array<int>, n array<int>").collect()
+    rows = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(tidy(_counted), "lang string, cut int, place array<int>, n array<int>").collect()
     rows.sort(key=lambda r: (r["lang"], r["place"], r["n"]))
-    counts = np.zeros((len(rows), DIM))
-    for i, r in enumerate(rows):
-        counts[i, r["place"]] = r["n"]
-    return fit_model([r["lang"] for r in rows], counts)
+
+    def dense(part: list) -> tuple[list[str], np.ndarray]:
+        counts = np.zeros((len(part), DIM))
+        for i, r in enumerate(part):
+            counts[i, r["place"]] = r["n"]
+        return [r["lang"] for r in part], counts
+
+    cut = [r for r in rows if r["cut"] and r["place"]]
+    return fit_model(*dense([r for r in rows if not r["cut"]]), cuts=(dense(cut[i : i + 500]) for i in range(0, len(cut), 500)))
 
 
 def has_letter(text: Column) -> Column:

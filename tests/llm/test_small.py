@@ -87,6 +87,20 @@ def test_far_texts_are_rejected():
     assert model.predict(counts)[2].tolist() == [False] * 8 + [True]
 
 
+def test_junk_and_unlearned_languages_are_rejected(spark, sf_dir):
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    code = "def run(x):\n    for i in range(10):\n        if x[i] > 0:\n            return x[i] + 1\n    raise ValueError(x)\n"
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem "
+    raw = random.Random(5).randbytes(3000)
+    junk = [base64.b64encode(raw).decode(), raw.hex(), code * 20, polish * 20]
+    short = known.where("length(text) > 200 AND lang = 'en'").limit(40).select((F.col("doc_id") + 20_000_000).alias("doc_id"), F.substring("text", 1, 60).alias("text"), F.lit(None).cast("string").alias("lang"), "source")
+    rows = known.unionByName(docs(spark, [(10_000_000 + i, t, None, "s") for i, t in enumerate(junk)]).select(*known.columns)).unionByName(short)
+    got = lang_id.identify(rows).toPandas()
+    assert got[got["doc_id"].between(10_000_000, 19_999_999)]["rejected"].tolist() == [True] * 4
+    assert got[got["doc_id"] >= 20_000_000]["rejected"].mean() <= 0.1
+    assert got[got["doc_id"] < 10_000_000]["rejected"].mean() <= 0.03
+
+
 def test_lang_id_empty_and_unlabelled(spark):
     assert lang_id.identify(docs(spark, [(1, "a", "en", "s")]).where("false")).count() == 0
     assert [r["lang_pred"] for r in lang_id.identify(docs(spark, [(1, "a b", None, "s")])).collect()] == ["und"]
