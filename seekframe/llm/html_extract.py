@@ -3,8 +3,8 @@
 A page is a list of tokens: its tags, told apart by their path, and its pieces of text.
 Over the pages of one host each token has an occurrence vector, how often it stands in
 each page.  Tokens of one vector form an equivalence class; the class of those that stand
-exactly once in every page, in nested order, is the template's skeleton, and classes with
-the same counts in most pages nest in its slots.  Text that belongs to the skeleton is
+exactly once in every page is the template's skeleton.  No other class is formed, and none
+is validated by order or nested.  Text that belongs to the skeleton is
 part of the template, and what fills the slots is the page's own.
 
 Vectors are never gathered: a vector's fingerprint is the sum of its counts, each times a
