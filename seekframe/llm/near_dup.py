@@ -10,7 +10,8 @@ probability Jaccard similarity of the two texts.
 Signatures are cut into bands; texts that agree in a band are candidates.  Candidates of a
 band are compared with one hub of the band (the text that shares bands with most), not with each other, and exactly, on their
 texts: they are linked if their probability Jaccard similarity, or the plain one of the shingle sets, is at
-least ``least``.  Links join texts into classes.  After two rounds with a hub, bands that
+least ``least``.  Recall holds for the former only: a pair that is alike by the plain one alone
+is met by chance, as bands come from weighted signatures.  Links join texts into classes.  After two rounds with a hub, bands that
 still hold texts of different classes are compared within: a task takes a band, or two
 blocks of a large one (so it never holds more than about twice ``BLOCK`` texts), and finds the links between classes through an index of shingles,
 so no link between candidates is lost and no pair leaves a task but a link.
