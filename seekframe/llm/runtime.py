@@ -1,8 +1,9 @@
 """Where the operators of this package put what must survive a lost executor.
 
 A long lineage is cut by writing a table below ``spark.checkpoint.dir``, which
-every executor and the driver share.  The setting is read from the session; a
-folder of our own is chosen only where none is set, as in tests.
+every executor and the driver share.  The setting is read from the session.  Where
+it is unset, a local session gets a folder of its own; on a cluster, whose machines
+share no local folder, that is an error.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
         known = context._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="seekframe-")
         context.setCheckpointDir(root)
     return root
@@ -57,19 +60,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.seekframe_path = path
+    return table
 
 
-def clean(spark: SparkSession) -> int:
-    """Deletes the tables that operators of this driver have left in the shared folder, and says how many.
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``materialise`` that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, [table.seekframe_path])
 
-    To be called once the results that read them are written.
+
+def mark() -> int:
+    """Where the list of tables stands now; for ``clean``."""
+    return len(_made)
+
+
+def clean(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Deletes the tables that operators of this driver have made in the shared folder since ``mark``, and says how many.
+
+    To be called once the results that read them are written; the table ``keep`` stays.
     """
-    for path in (gone := [*_made]):
+    spared = keep.seekframe_path if keep is not None else None
+    gone = [path for path in _made[since:] if path != spared]
+    _delete(spark, gone)
+    return len(gone)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
         _made.remove(path)
-    return len(gone)
 
 
 def utf8_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

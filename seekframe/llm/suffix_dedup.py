@@ -9,19 +9,24 @@ Not all suffixes are sorted.  Each window of ``width`` bytes is owned by an anch
 windows have equal anchors at equal offsets.  Neighbouring windows share anchors, so a
 text of n bytes has about 2n / (width - core) of them.
 
-1. Anchors are counted by core, and by core and the hash of all bytes of the windows they
-   own.  If these bytes occur twice, all their windows are repeated; if the core occurs
-   once, none is.  Counting combines before it shuffles, so a passage in a third of all
-   texts is no hot spot.
+1. Anchors are counted by core, and by core and a 128-bit BLAKE2b digest of all bytes of
+   the windows they own.  If these bytes occur twice, all their windows are repeated; if
+   the core occurs once, none is.  Counting combines before it shuffles, so a passage in a
+   third of all texts is no hot spot.
 2. What is left are anchors at the edges of repeats.  Their bytes, and those of one anchor
-   for each of the strings found in 1, are gathered by core, in bounded buckets, and sorted there: suffixes from the anchor on and, backwards, prefixes
-   up to it, each by a mergesort whose comparisons find the common extension by a binary
+   for each of the strings found in 1, are gathered by core, in bounded buckets, and sorted
+   there: suffixes from the anchor on and, backwards, prefixes up to it, each by a mergesort whose comparisons find the common extension by a binary
    search over prefix polynomial hashes.  Extensions of neighbours are verified on the bytes
    themselves.  A window is repeated if another one stands with it in one class of both
    orders.  A core with more anchors than a bucket holds is split; windows that are single
    in their part are compared across parts, first by what neighbouring ones share, then by
    a digest of their own.
-3. Texts are joined with the ranges found.
+3. Ranges are merged to spans, and texts are joined with them.
+
+``repeats`` can also report passages: with ``passage = (bytes, words)`` the same search runs
+for strings of that many bytes, fewer than ``width``, and those of its spans count that hold
+more than so many whole words.  The search for ``width`` then looks only at texts that have a
+span of ``width`` bytes there, as all its strings lie in such a span.
 
 Results: a null text is empty; a text shorter than ``width`` loses nothing.  Repeated rows
 count as texts of their own, so a row that stands there twice loses all its windows.  An
@@ -39,8 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekframe.llm.rolling import U, common_extension, prefix_hash, span_hash, window_hash
-from seekframe.llm.runtime import materialise, release, text_batches, tidy, utf8_chunks
+from seekframe.llm.rolling import U, common_extension, prefix_hash, window_hash
+from seekframe.llm.runtime import discard, materialise, release, text_batches, tidy, utf8_chunks
 
 WIDTH, CORE = 400, 100
 #: Fragments in a bucket, and those of one core beyond which it is split.
@@ -61,7 +66,7 @@ def _least(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, width: int, core: int):
-    """(text number, first, last, anchor, core hash, hash of all owned bytes) of each anchor.
+    """(text number, first, last, anchor, core hash) of each anchor.
 
     Positions are within ``data``; the anchor owns the windows from ``first`` to ``last``.
     """
@@ -70,7 +75,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, width: int, core: int):
     w = width - core + 1
     none = np.zeros(0, np.int64)
     if len(hashes) < w:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     low = U((1 << AT_BITS) - 1)
     owner = (_least((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), w) & low).astype(np.int64)
     starts, ends = offsets[:-1], offsets[1:] - width + 1
@@ -83,19 +88,27 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, width: int, core: int):
     new[1:] = (p[1:] != p[:-1]) | (of[1:] != of[:-1])
     at = np.flatnonzero(new)
     first, last, anchor = s[at], s[np.append(at[1:], len(s)) - 1], p[at]
-    return of[at], first, last, anchor, hashes[anchor], span_hash(prefix, first, last + width)
+    return of[at], first, last, anchor, hashes[anchor]
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of spans of bytes, as two longs each."""
+    whole = memoryview(data.tobytes())
+    out = b"".join([hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(out, "<i8").reshape(-1, 2)
 
 
 def _anchor_rows(width: int, core: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in utf8_chunks(batch.column("t")):
-                of, first, last, anchor, cores, owned = anchors_of(data, offsets, width, core)
+                of, first, last, anchor, cores = anchors_of(data, offsets, width, core)
+                owned = digests(data, first, last + width)
                 where = ((first - offsets[of]) << 20) | ((anchor - first) << 10) | (anchor - last)
                 keys = batch.select(["k1", "k2"]).slice(a, b - a).take(pa.array(of))
                 yield pa.RecordBatch.from_arrays(
-                    [keys.column("k1"), keys.column("k2"), pa.array(cores.view(np.int64)), pa.array(owned.view(np.int64)), pa.array(where)],
-                    ["k1", "k2", "core", "owned", "place"],
+                    [keys.column("k1"), keys.column("k2"), pa.array(cores.view(np.int64)), *(pa.array(owned[:, i]) for i in (0, 1)), pa.array(where)],
+                    ["k1", "k2", "core", "owned", "owned2", "place"],
                 )
 
     return run
@@ -264,18 +277,43 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("k1", F.xxhash64(F.col(id_col), t)).withColumn("k2", F.hash(t, F.col(id_col))).withColumn("t", t)
 
 
-def repeated_ranges(keyed: DataFrame, width: int, core: int) -> tuple[DataFrame, DataFrame]:
-    """Per row key the places of anchors all of whose windows are repeated, and the ranges found at edges."""
+def _spans(width: int):
+    """Merges whole places and ranges of a row to maximal spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for whole, ranges in zip(batch.column("whole").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                found = [(x["a"], x["b"]) for x in ranges or []]
+                for place in whole or []:
+                    first = place >> 20
+                    found.append((first, first + ((place >> 10) & 1023) - (place & 1023) + width))
+                merged: list[list[int]] = []
+                for a, b in sorted(found):
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, b])
+                spans.append([{"a": a, "b": b} for a, b in merged])
+            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+            longest = [max((x["b"] - x["a"] for x in s), default=0) for s in spans]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(spans, kind), pa.array(longest, pa.int64())], ["k1", "k2", "spans", "longest"])
+
+    return run
+
+
+def repeated_spans(keyed: DataFrame, width: int, core: int) -> DataFrame:
+    """k1, k2, spans and the longest one's size of each row of ``keyed`` (k1, k2, t) that has any; a table."""
     spark = keyed.sparkSession
-    anchors = keyed.select("k1", "k2", "t").mapInArrow(tidy(_anchor_rows(width, core)), "k1 bigint, k2 int, core bigint, owned bigint, place bigint")
+    anchors = keyed.select("k1", "k2", "t").mapInArrow(tidy(_anchor_rows(width, core)), "k1 bigint, k2 int, core bigint, owned bigint, owned2 bigint, place bigint")
     me = F.xxhash64("k1", "k2", "place")
-    pairs = anchors.groupBy("core", "owned").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("lead"))
+    pairs = anchors.groupBy("core", "owned", "owned2").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("lead"))
     # tables, so that both sides of the joins below are dealt out by an exchange of their own and a hot core can be split
     pairs = materialise(pairs, "dedup-pairs")
     cores = materialise(pairs.groupBy("core").agg(F.sum("n").alias("n"), (F.count(F.lit(1)) > 1).alias("mixed")).where("n > 1").select("core", "mixed"), "dedup-cores")
     release(spark)
-    twice = pairs.where("n > 1").select("core", "owned", "lead")
-    judged = anchors.join(cores, "core").join(twice, ["core", "owned"], "left")
+    twice = pairs.where("n > 1").select("core", "owned", "owned2", "lead")
+    judged = anchors.join(cores, "core").join(twice, ["core", "owned", "owned2"], "left")
     # one anchor stands for all whose windows are the same: others at this core may share some of them
     shown = F.col("lead").isNull() | (F.col("mixed") & (F.col("lead") == me))
     status = judged.groupBy("k1", "k2").agg(
@@ -283,6 +321,7 @@ def repeated_ranges(keyed: DataFrame, width: int, core: int) -> tuple[DataFrame,
         F.collect_list(F.when(shown, F.struct("core", "place"))).alias("edges"),
     )
     status = materialise(status, "dedup-anchors")
+    discard(pairs, cores)
     release(spark)
     edges = status.where(F.size("edges") > 0).select("k1", "k2", "edges")
     # repeated rows have one key: the text is needed once, and each row's anchors are listed
@@ -295,55 +334,74 @@ def repeated_ranges(keyed: DataFrame, width: int, core: int) -> tuple[DataFrame,
     dealt = pieces.join(hot, "core", "left").withColumn("part", F.when(F.col("n").isNull(), -1).otherwise(F.pmod(F.xxhash64("k1", "k2", "place"), parts)).cast("int"))
     dealt = dealt.withColumn("bucket", F.when(F.col("part") >= 0, F.col("core")).otherwise(F.pmod(F.xxhash64("core"), F.lit(max(1, math.ceil(count / BUCKET))))))
     resolved = materialise(dealt.drop("n").groupBy("bucket", "part").applyInArrow(_resolve(width), OPEN), "dedup-resolved")
+    discard(pieces)
     release(spark)
     twice_in = lambda df, *key: df.join(df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), [*key], "left_semi")
     tiers = twice_in(resolved.where(F.col("t1").isNotNull()).select("k1", "k2", "t1", "t2", "windows"), "t1", "t2")
     single = twice_in(tiers.select("k1", "k2", F.explode("windows").alias("w")).select("k1", "k2", "w.a", "w.d1", "w.d2"), "d1", "d2")
     ranges = resolved.where(F.col("t1").isNull()).select("k1", "k2", "a", "b").unionByName(single.select("k1", "k2", "a", (F.col("a") + width).alias("b")))
-    return status.select("k1", "k2", "whole"), ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    both = status.select("k1", "k2", "whole").join(ranges, ["k1", "k2"], "left")
+    spans = materialise(both.mapInArrow(tidy(_spans(width)), "k1 bigint, k2 int, spans array<struct<a:bigint,b:bigint>>, longest bigint").where("longest > 0"), "dedup-spans")
+    discard(status, resolved)
+    release(spark)
+    return spans
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def whole_words(data: np.ndarray, spans: list[tuple[int, int]], more_than: int) -> list[tuple[int, int]]:
+    """Of ``spans`` those that hold more than so many whole words, each cut back to them."""
+    word = np.concatenate([[False], ~_BLANK[data], [False]]).astype(np.int8)
+    begin, end = np.flatnonzero(np.diff(word) == 1), np.flatnonzero(np.diff(word) == -1)
+    out = []
+    for a, b in spans:
+        first, last = int(np.searchsorted(begin, a)), int(np.searchsorted(end, b, side="right"))
+        if last - first > more_than:
+            out.append((int(begin[first]), int(end[last - 1])))
+    return out
 
 
-def removed_flags(size: int, whole: list[int], ranges: list[tuple[int, int]], width: int) -> np.ndarray:
-    change = np.zeros(size + 1, np.int64)
-    if len(whole):
-        place = np.asarray(whole, np.int64)
-        first = place >> 20
-        np.add.at(change, first, 1)
-        np.add.at(change, first + ((place >> 10) & 1023) - (place & 1023) + width, -1)
-    for a, b in ranges:
-        change[a] += 1
-        change[b] -= 1
-    return np.cumsum(change[:size]) > 0
+def _without(data: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
+    keep = np.ones(len(data), bool)
+    for a, b in spans:
+        keep[a:b] = False
+    return data[keep].tobytes()
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, core: int | None = None, *, id_col: str = "doc_id", text_col: str = "text", kept: bool = True) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each row of ``docs`` as one column, with its two keys and its text."""
+    text_batches(docs.sparkSession)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("row_id"), F.col(text_col).alias("row_text"))
+    return _keyed(own, "row_id", "row_text").drop("row_id", "row_text")
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, core: int | None = None, *, words: int | None = None, id_col: str = "doc_id", text_col: str = "text", kept: bool = True) -> DataFrame:
     """``docs`` with dedup_bytes, dedup_removed, dedup_spans, dedup_sha256 and, if ``kept``, dedup_kept
     (the bytes left) and dedup_text (their whole characters).
 
-    Columns of ``docs`` named k1, k2, t, whole or ranges are passed through under their names too.
+    With ``words`` only spans with more whole words than that go, and of them the whole words.
+    Columns of ``docs`` named k1, k2, t or spans are passed through under their names too.
     """
-    core = core or max(1, width // 4)
-    text_batches(docs.sparkSession)
-    if width >= 1024:
-        raise ValueError("a window of 1024 bytes or more doesn't fit the packed places")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("row_id"), F.col(text_col).alias("row_text"))
-    keyed = _keyed(own, "row_id", "row_text").drop("row_id", "row_text")
-    whole, ranges = repeated_ranges(keyed, width, core)
-    joined = keyed.join(whole, ["k1", "k2"], "left").join(ranges, ["k1", "k2"], "left").select("row", "t", "whole", "ranges")
+    keyed = _rows(docs, id_col, text_col)
+    spans = repeated_spans(keyed, _checked(width), core or max(1, width // 4))
+    joined = keyed.join(spans.select("k1", "k2", "spans"), ["k1", "k2"], "left").select("row", "t", "spans")
     row = joined.schema["row"].dataType.simpleString()
     schema = f"row {row}, n_bytes bigint, n_removed bigint, n_spans bigint, sha string" + ", kept binary, whole_text string" * kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, w, r in zip(*(batch.column(c).to_pylist() for c in ("t", "whole", "ranges")), strict=True):
-                data = text.encode("utf-8")
-                left, gone, spans = data, 0, 0
-                if w or r:
-                    flags = removed_flags(len(data), w or [], [(x["a"], x["b"]) for x in r or []], width)
-                    gone, spans = int(flags.sum()), len(_runs(flags))
-                    left = np.frombuffer(data, np.uint8)[~flags].tobytes()
-                out.append((len(data), gone, spans, hashlib.sha256(left).hexdigest(), left))
+            for text, found in zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                left = data = text.encode("utf-8")
+                gone = [(x["a"], x["b"]) for x in found or []]
+                if gone:
+                    array = np.frombuffer(data, np.uint8)
+                    gone = gone if words is None else whole_words(array, gone, words)
+                    left = _without(array, gone)
+                out.append((len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(left).hexdigest(), left))
             columns = [*zip(*out, strict=True)] or [[]] * 5
             types = [pa.int64()] * 3 + [pa.string(), pa.binary()]
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)][: 5 if kept else 4]
@@ -354,3 +412,46 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, core: int | None = None,
     done = joined.mapInArrow(tidy(run), schema)
     names = {"n_bytes": "dedup_bytes", "n_removed": "dedup_removed", "n_spans": "dedup_spans", "sha": "dedup_sha256"} | ({"kept": "dedup_kept", "whole_text": "dedup_text"} if kept else {})
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *[F.col(a).alias(b) for a, b in names.items()])
+
+
+def _checked(width: int) -> int:
+    if width >= 1024:
+        raise ValueError("a window of 1024 bytes or more doesn't fit the packed places")
+    return width
+
+
+def repeats(docs: DataFrame, width: int, passage: tuple[int, int], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each row its id, n_bytes, n_removed, n_spans and kept_sha256 as ``remove_repeats`` has them
+    for ``width``, and n_passages and passage_bytes: spans of repeated strings of ``passage[0]`` bytes
+    that hold more than ``passage[1]`` whole words, and the bytes of these words."""
+    least, words = passage
+    if least >= _checked(width):
+        raise ValueError("passages are shorter than the strings that are removed")
+    keyed = _rows(docs.select(id_col, text_col), id_col, text_col)
+    short = repeated_spans(keyed, least, least // 4)
+    # every string of ``width`` bytes that stands twice lies in a span that long, on both sides
+    some = materialise(keyed.select("k1", "k2", "t").join(short.where(F.col("longest") >= width).select("k1", "k2"), ["k1", "k2"], "left_semi"), "dedup-some")
+    long = repeated_spans(some, width, width // 4)
+    discard(some)
+    found = short.select("k1", "k2", "spans").join(long.select("k1", "k2", F.col("spans").alias("cut")), ["k1", "k2"], "left")
+    joined = keyed.join(found, ["k1", "k2"], "left").select("row", "t", "spans", "cut")
+    kind = joined.schema["row"].dataType[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, found, cut in zip(*(batch.column(c).to_pylist() for c in ("t", "spans", "cut")), strict=True):
+                left = data = text.encode("utf-8")
+                gone = [(x["a"], x["b"]) for x in cut or []]
+                passages: list[tuple[int, int]] = []
+                if found:
+                    array = np.frombuffer(data, np.uint8)
+                    passages = whole_words(array, [(x["a"], x["b"]) for x in found], words)
+                    left = _without(array, gone) if gone else data
+                out.append((len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(left).hexdigest(), len(passages), sum(b - a for a, b in passages)))
+            columns = [*zip(*out, strict=True)] or [[]] * 6
+            types = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2
+            ids = batch.column("row").field(0)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"])
+
+    return joined.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, passage_bytes bigint")

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -208,6 +209,74 @@ def test_suffix_dedup_is_exact(spark, monkeypatch, seed, bucket):
     assert mine == sorted((str(r[0]), *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows], w), strict=True))
 
 
+def brute_flags(texts, w):
+    bs = [(t or "").encode() for t in texts]
+    count = Counter(b[i : i + w] for b in bs for i in range(len(b) - w + 1))
+    out = []
+    for b in bs:
+        gone = bytearray(len(b))
+        for i in range(len(b) - w + 1):
+            if count[b[i : i + w]] > 1:
+                gone[i : i + w] = b"\1" * w
+        out.append(gone)
+    return out
+
+
+def brute_passages(text, gone, words):
+    """(first, end) of the whole words of each run of ``gone`` that has more than ``words`` of them."""
+    b, out, at = (text or "").encode(), [], 0
+    inside = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+    while at < len(b):
+        end = at
+        while end < len(b) and gone[end]:
+            end += 1
+        own = [(x, y) for x, y in inside if at <= x and y <= end]
+        if end > at and len(own) > words:
+            out.append((own[0][0], own[-1][1]))
+        at = max(end, at) + 1
+    return out
+
+
+def passage_texts():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 8)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    passages = [some(n) for n in (49, 50, 51, 55, 60, 80, 200)]
+    texts: list = [None, "", " \n ", "the " * 400, "\u00a0" * 300]
+    for p in passages:
+        texts += [some(40) + "\n" + p + "\n" + some(rng.randrange(1, 60)) for _ in range(3)]
+        texts.append(p)
+    texts += [some(rng.randrange(1, 300)) for _ in range(30)]
+    texts += [texts[-1], texts[-2]]
+    return texts
+
+
+def test_passages_and_strings_are_exact(spark):
+    texts = passage_texts()
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(7, texts[7], "en", "s")]
+    texts = [r[1] for r in rows]
+    got = suffix_dedup.repeats(docs(spark, rows), 400, (240, 50))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"]
+    expected = []
+    for (i, t, *_), whole, flags in zip(rows, brute_repeats(texts, 400), brute_flags(texts, 240), strict=True):
+        spans = brute_passages(t, flags, 50)
+        expected.append((i, *whole, len(spans), sum(b - a for a, b in spans)))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+    assert sum(x[-2] for x in expected) >= 15
+    assert suffix_dedup.repeats(docs(spark, rows).where("false"), 400, (240, 50)).count() == 0
+
+
+def test_only_passages_of_many_words_go(spark):
+    texts = passage_texts()
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["dedup_text"] for r in suffix_dedup.remove_repeats(docs(spark, rows), 240, words=50).collect()}
+    for (i, t, *_), flags in zip(rows, brute_flags(texts, 240), strict=True):
+        left = bytearray((t or "").encode())
+        for a, b in reversed(brute_passages(t, flags, 50)):
+            del left[a:b]
+        assert got[i] == left.decode("utf-8", "ignore")
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [(1, "a", "en", "s")]).where("false"), 24).count() == 0
 
