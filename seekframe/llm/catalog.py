@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekframe.llm import ann, bpe, html_extract, lang_id, mixing, near_dup, suffix_dedup, topk, url_filter, warc
-from seekframe.llm.runtime import new_path
+from seekframe.llm.runtime import new_path, release
 
 #: The folder of the public tokenizer files on every machine; a parameter of the queries that need one.
 TOKENIZERS = "/opt/tokenizers"
@@ -61,6 +61,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     warc.archive(table(spark, sf_dir, "pages"), folder)
+    release(spark)
     # of responses the payload itself is measured; of revisits the header says what it was
     full = warc.load(spark, folder, ["record_type", "page_id", "payload"]).where(F.col("record_type") == "response")
     full = full.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
