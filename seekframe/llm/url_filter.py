@@ -107,6 +107,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, *, id_col: s
     """
     host, path = split_url(F.col(url_col))
     keyed = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    salt = F.xxhash64(F.col(id_col), F.col(url_col))  # the same however often a task is run
     kind = pages.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, host string, path string, rule string, verdict string"
 
@@ -120,7 +121,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, *, id_col: s
         rules = rules.select("verdict", "host", "path")
         head = [tuple(r) for r in rules.limit(local_rules + 1).collect()]
         if len(head) > local_rules:
-            return _dealt(keyed, rules, judged, schema)
+            return _dealt(pages.select(F.col(id_col), host.alias("host"), path.alias("path"), salt.alias("salt")), rules, judged, schema)
         rules = head
     sweep = RuleSweep(rules)
     return keyed.mapInArrow(lambda batches: (judged(b, sweep) for b in batches), schema)
@@ -130,7 +131,7 @@ def _dealt(keyed: DataFrame, rules: DataFrame, judged, schema: str) -> DataFrame
     pair = lambda c: F.substring_index(c, ".", -2)
     keyed = keyed.withColumn("pair", pair("host"))
     sizes = keyed.groupBy("pair").agg(F.ceil(F.count(F.lit(1)) / GROUP_URLS).cast("int").alias("parts"))
-    urls = keyed.join(sizes, "pair").withColumn("part", F.pmod(F.xxhash64("host", "path", F.rand(7)), F.col("parts")))
+    urls = keyed.join(sizes, "pair").withColumn("part", F.pmod(F.col("salt"), F.col("parts")))
     narrow = rules.where(F.instr("host", ".") > 0).withColumn("pair", pair("host")).join(sizes, "pair")
     wide = rules.where(F.instr("host", ".") == 0).join(sizes.withColumn("host", F.substring_index("pair", ".", -1)), "host")
     dealt = narrow.unionByName(wide.select(narrow.columns)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -139,6 +140,6 @@ def _dealt(keyed: DataFrame, rules: DataFrame, judged, schema: str) -> DataFrame
         columns = (right.column(c).to_pylist() for c in ("verdict", "host", "path"))
         return judged(left, RuleSweep([*zip(*columns, strict=True)]))
 
-    urls = urls.select(F.col("pair").alias("pair"), F.col("part").cast("bigint").alias("part"), *[F.col(c).alias(c) for c in urls.columns if c not in ("pair", "part", "parts")])
+    urls = urls.select(F.col("pair").alias("pair"), F.col("part").cast("bigint").alias("part"), *[F.col(c).alias(c) for c in urls.columns if c not in ("pair", "part", "parts", "salt")])
     dealt = dealt.select(F.col("pair").alias("pair"), F.col("part").cast("bigint").alias("part"), "verdict", "host", "path")
     return urls.groupBy("pair", "part").cogroup(dealt.groupBy("pair", "part")).applyInArrow(both, schema)
