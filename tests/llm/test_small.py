@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -12,6 +14,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
@@ -542,6 +545,70 @@ def test_warc_short_payloads_and_empty_table(spark):
     assert warc.load(spark, folder).count() == 0
 
 
+def test_a_hot_payload_and_repeated_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, f"http://h/{i % 7}", rng.choice(["", "", None, "hot " * 500, f"own {i}", f"pair {i // 2}"])) for i in range(1500)]
+    rows += [(7, "http://x", "hot " * 500), (1499, None, "hot " * 500), (None, "u", "lonely"), (None, "u", "lonely"), (None, "v", "lonely"), (-5, "u", "lonely")] + [(2000, "r", "again")] * 400
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    folder = new_path(spark, "warc-test")
+    warc.archive(df.repartition(5), folder)
+    got = warc.load(spark, folder).collect()
+    assert len(got) == len(rows)
+    by_payload = defaultdict(list)
+    for i, _, t in rows:
+        by_payload[t or ""].append(i)
+    digest = {base64.b32encode(hashlib.sha1(t.encode()).digest()).decode(): t for t in by_payload}
+    met = defaultdict(list)
+    for r in got:
+        met[digest[r["payload_digest"]]].append(r)
+    for t, ids in by_payload.items():
+        last = max(ids, key=lambda i: -(10**9) if i is None else i)
+        responses = [r for r in met[t] if r["record_type"] == "response"]
+        assert [r["page_id"] for r in responses] == [last] and bytes(responses[0]["payload"]).decode() == t
+        assert sorted(str(r["page_id"]) for r in met[t]) == sorted(map(str, ids))
+        assert all(r["refers_to"] == warc.record_id(last) and r["payload"] is None for r in met[t] if r["record_type"] == "revisit")
+    # payloads meet by id, url and digest only; by digest alone there meet narrow rows
+    plan = warc.revisits(df, id_col="page_id", payload_col="html", url_col="url", least=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("first(payload") == 1
+
+
+def test_foreign_and_broken_archives(spark, tmp_path):
+    def member(head, body):
+        return gzip.compress("\r\n".join([*head, f"content-length: {len(body)}"]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi\r\n\r\nthere"
+    records = [
+        member(["WARC/1.0", "warc-type: warcinfo"], b"software: x"),
+        member(["WARC/1.0", "WARC-TYPE:response", "warc-target-uri: http://a/", "Content-Type: application/http; msgtype=response", "WARC-Payload-Digest: sha1:ABC"], http),
+        member(["WARC/1.0", "WARC-Type: resource", "WARC-Page-Id: x"], b"z" * 700_000),
+        warc.record("response", 3, "u", b"own", 3, "D", None),
+        member(["WARC/1.0", "WARC-Type: metadata"], b""),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(records))
+    got = warc.load(spark, f"file://{tmp_path}").collect()
+    assert [(r["record_type"], r["page_id"], r["payload_bytes"]) for r in got] == [("warcinfo", None, 11), ("response", None, 14), ("resource", None, 700_000), ("response", 3, 3), ("metadata", None, 0)]
+    assert bytes(got[1]["payload"]) == b"<p>hi\r\n\r\nthere" and got[1]["target_uri"] == "http://a/" and got[1]["payload_digest"] == "ABC"
+    assert [r["payload_bytes"] for r in warc.load(spark, f"file://{tmp_path}", ["record_type", "payload_bytes"]).where("record_type = 'response'").collect()] == [14, 3]
+    for n, broken in enumerate([b"no gzip", gzip.compress(b"HTTP/1.1 200\r\n\r\nx"), records[1][:60], gzip.compress(b"WARC/1.0\r\nContent-Length: 1\r\n\r\nabcd\r\n\r\n")]):
+        (tmp_path / str(n)).mkdir()
+        (tmp_path / str(n) / "b.warc.gz").write_bytes(broken)
+        with pytest.raises(Exception, match="b.warc.gz"):
+            warc.load(spark, f"file://{tmp_path}/{n}").collect()
+
+
+def test_unwanted_payloads_are_not_inflated(tmp_path):
+    big = [warc.record("response", i, "u", os.urandom(400_000), 400_000, "D", None) for i in range(5)]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(big))
+    assert gzip.decompress(big[0])[-4:] == b"\r\n\r\n"  # any reader of gzip can read it
+    with pa.fs.LocalFileSystem().open_input_file(str(path)) as file:
+        members, heads = warc._Members(file), []
+        for head, _ in members:
+            heads.append(warc.parse_head(head)["page_id"])
+            assert members.unpacker.eof is False and members.used <= warc.PIECE
+    assert heads == [0, 1, 2, 3, 4]
+
+
 # ---- 8 main text
 
 
@@ -552,21 +619,131 @@ PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style></head
 
 def test_html_extraction_with_a_template(spark):
     rows = [(i, "http://h.com/x", PAGE.format(i=i)) for i in range(12)]
-    rows += [(100, None, None), (101, "http://h2.com", ""), (102, "nohost", "<p>a &lt; b</p>plain"), (103, "http://h3.com", "<div><a href=x>m1</a> <a>m2</a></div><div class=post>Hello <a>w</a> world</div>"), (104, "http://h4.com", "<article>" + "<p>long</p>" * 20000)]
+    rows += [(100, None, None), (101, "http://h2.com", ""), (102, "nohost", "<p>a &lt; b</p>plain"), (103, "http://h3.com", "<div><a href=x>m1</a> <a>m2</a></div><div class=post>Hello <a>w</a> world</div>"), (104, "http://h4.com", "<article>" + "<p>long</p>" * 20000), (105, "http://h.com/empty", ""), (106, "http://h.com/blank", " ")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"host": F.lit(1), "text": F.lit("t"), "salt": F.lit(0)})
     for local in (400_000, 1):
         got = {r["page_id"]: r for r in html_extract.extract(df, local_tokens=local).collect()}
-        # the line that all pages of the host share is template
+        # the line that all pages of the host share is template; an empty page doesn't count
         assert all(got[i]["text"] == f"T{i} & co x\nText {i} here x" for i in range(12))
-        assert got[100]["text"] == got[101]["text"] == ""
+        assert got[100]["text"] == got[101]["text"] == got[105]["text"] == got[106]["text"] == ""
         assert got[102]["text"] == "a < b\nplain" and got[103]["text"] == "Hello w world"
         assert got[104]["text"] == "\n".join(["long"] * 20000)
         assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    # one article on many pages gives no template
     same = spark.createDataFrame([(i, "http://h.com", PAGE.format(i=1)) for i in range(10)], "page_id bigint, url string, html string")
     assert {r["text"] for r in html_extract.extract(same).collect()} == {"T1 & co x\nRead more at our shop\nText 1 here x"}
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="page with-sidebar"><article><p>Hello world</p></article></div>', "Hello world"),
+        ('<div id="page" class="no-ads"><main><p>Hello world</p></main></div>', "Hello world"),
+        ('<div class="sidebar-right"><main><p>Hello</p><div class="related"><a>r</a></div></main></div>', "Hello"),
+        ('<div class="sidebar"><article>teaser</article></div><article><p>Hello</p><article class="comment">c</article></article>', "Hello"),
+        ('<aside><article>teaser</article></aside><div class="cookie-notice">c</div>', ""),
+    ],
+)
+def test_marked_classes_around_an_article(page, text):
+    assert html_extract.content(page, html_extract.Template()) == text
+
+
+def brute_templates(pages, support):
+    """token -> (of the root, opens a slot of links), of each host; from whole occurrence vectors."""
+    hosts = defaultdict(list)
+    for host, page in pages:
+        tags, pieces = html_extract.walk(page)
+        tokens = [(k, p) for k, p in html_extract.tokens_of(tags, pieces) if k]
+        if tokens:
+            hosts[host].append((tokens, html_extract.chosen(pieces), [*html_extract.tokens_of(tags, pieces)]))
+    out = {}
+    for host, own in hosts.items():
+        out[host] = {}
+        if len({tuple(p.text for p in kept if p.key) for _, kept, _ in own}) < support:
+            continue
+        vectors, kinds = defaultdict(lambda: [0] * len(own)), {}
+        for i, (tokens, _, _) in enumerate(own):
+            for k, p in tokens:
+                vectors[k][i] += 1
+                kinds[k] = p is None
+        classes = defaultdict(list)
+        for k, v in vectors.items():
+            classes[tuple(v)].append(k)
+        root = classes.pop(tuple([1] * len(own)), [])
+        place = {k: sum([x for x, _ in tokens].index(k) / len(tokens) for tokens, _, _ in own) for k in root}
+        root = sorted(root, key=place.__getitem__)
+        wrong = set()
+        for tokens, _, _ in own:
+            seen = [root.index(k) for k, _ in tokens if k in place]
+            inside = max((list(c) for n in (len(seen), len(seen) - 1) for c in itertools.combinations(seen, n) if list(c) == sorted(c)), key=len)
+            wrong |= {root[i] for i in seen if i not in inside}
+        good = {}
+        for v, keys in classes.items():
+            if len(keys) < 2 or not any(kinds[k] for k in keys) or 2 * sum(x > 0 for x in v) < len(own):
+                continue
+            slots = set()
+            for tokens, _, _ in own:
+                at = 0
+                for k, _ in tokens:
+                    if k in place and k not in wrong:
+                        at = k
+                    elif k in keys:
+                        slots.add(at)
+            if len(slots) == 1:
+                good |= dict.fromkeys(keys, (False, False))
+        share = defaultdict(lambda: [0, 0, 0, set()])
+        for i, (_, kept, everything) in enumerate(own):
+            at, inside = 0, {id(p) for p in kept}
+            for k, p in everything:
+                if p is not None and id(p) in inside:
+                    s = share[at]
+                    s[0] += len(p.text)
+                    s[1] += len(p.text) * p.link
+                    s[2] += p.link and p.key != 0
+                    s[3].add(i)
+                if k in place and k not in wrong:
+                    at = k
+        out[host] = good | {k: (True, 2 * share[k][1] > share[k][0] and share[k][2] >= 2 * len(share[k][3])) for k in root if k not in wrong}
+    return out
+
+
+def site(host, n, seed):
+    """Pages with a menu of changing length, a byline on most, a share line in the article, links below it and comments."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    out = []
+    for i in range(n):
+        menu = "".join(f"<li><a>{word()}</a></li>" for _ in range(rng.randrange(2, 6)))
+        byline = f'<div class="by"><i>Written by</i> <u>{word()}</u></div>' if i % 5 else ""
+        body = "".join(f"<p>{word()} {word()} {word()}</p>" for _ in range(rng.randrange(1, 5)))
+        more = "".join(f"<a>{word()}</a> " for _ in range(3))
+        out.append((f"http://{host}/{i}", f'<html><body><ul>{menu}</ul><div class="text">{byline}<h1>{word()}</h1><div class="box"><b>Tell a friend</b></div>{body}</div><h3>See also</h3><div class="links">{more}</div></body></html>'))
+    return out
+
+
+def test_templates_equal_brute_force(spark):
+    pages = site("a.com", 14, 1) + site("b.com", 3, 2) + [(u.replace("c.com", "C.com"), x) for u, x in site("c.com", 9, 3)]
+    rows = [(i, u, x) for i, (u, x) in enumerate(pages)] + [(99, "http://a.com/none", ""), (98, "http://a.com/copy", pages[0][1])]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    host = lambda u: u.split("/")[2].lower()
+    expected = brute_templates([(host(u), x) for _, u, x in rows], html_extract.SUPPORT)
+    assert len(expected["a.com"]) > 15 and any(links for _, links in expected["a.com"].values()) and any(not root for root, _ in expected["a.com"].values()) and not expected["b.com"]
+    keyed = df.select(F.lower(F.split("url", "/")[2]).alias("host"), F.pmod(F.xxhash64("page_id", "html"), F.lit(html_extract.PRIME)).alias("salt"), "html")
+    for local in (400_000, 1):
+        got = defaultdict(dict)
+        for r in html_extract.templates(keyed, html_extract.SUPPORT, local).collect():
+            got[r["host"]][r["token"]] = (r["root"], r["links"])
+        assert dict(got) == {h: x for h, x in expected.items() if x}
+        found = {r["page_id"]: r["text"] for r in html_extract.extract(df, local_tokens=local).collect()}
+        for i, u, page in rows:
+            t = expected.get(host(u), {})
+            assert found[i] == html_extract.content(page, html_extract.Template(set(t), {k for k, x in t.items() if x[0]}, {k for k, x in t.items() if x[1]}))
+    # the template decides: menu, share line, heading of the links and the links themselves go, a byline's name stays
+    assert "Tell a friend" not in found[1] and "See also" not in found[1] and found[1].startswith("Written by") and len(found[1].split("\n")) < 8
+    assert "Tell a friend" in html_extract.content(rows[1][2], html_extract.Template())
+
+
 # ---- 9 BPE
 
 
