@@ -1,23 +1,24 @@
 """What the two vector searches share: usable rows, shards, and merging what shards found.
 
-Candidates are dealt by a hash of their id into shards of about some thousands; queries
-into blocks of about ``BLOCK_ROWS``.  A task sees one shard and one block, so its memory
-is bounded, and rows of one very common vector are spread over all shards.  Within a
-shard equal vectors are kept once with their ids in order.
+Candidates are dealt by a hash of their id into shards of some thousands.  A task gets a
+shard's candidates first and builds their index once; then the queries stream past it, so
+its memory is bounded by the shard, and rows of one very common vector are spread over all
+shards.  Only beyond ``BLOCK_ROWS`` queries are these cut into blocks, each of which builds
+the index again, as one task would have too much to do.  Within a shard equal vectors are
+kept once with their ids in order.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
-FOUND = "query_id bigint, vec_ids array<bigint>, scores array<double>"
+BLOCK_ROWS = 1 << 18
 
 
 def usable(vector: Column, *, zero: bool) -> Column:
@@ -62,42 +63,64 @@ class Shard:
         return found[order], value[order]
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(flat), -1)
+def matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
 def dealt(vectors: DataFrame, queries: Column, shard_rows: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """Candidates (with ``shard``), queries (with ``block`` and their home ``shard``), and how many of each.
+    """Candidates (id, v, dim, shard), queries (id, v, dim, home shard, block), and how many shards and blocks there are.
 
     ``vectors`` has ``id`` and ``v``.  Vectors of different lengths are never compared.
     """
     counts = vectors.agg(F.count(F.lit(1)), F.count(F.when(queries, 1))).first()
     shards, blocks = max(1, math.ceil(counts[0] / shard_rows)), max(1, math.ceil(counts[1] / BLOCK_ROWS))
-    tagged = vectors.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    asked = tagged.where(queries).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
-    return tagged, asked, shards, blocks
+    dim, shard = F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
+    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
+    return vectors.select("id", "v", dim, shard), vectors.where(queries).select("id", "v", dim, shard, block), shards, blocks
 
 
-def each_shard(tagged: DataFrame, asked: DataFrame, search: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
-    """``search(queries, candidates)`` for each block of queries with each shard named in ``asked.shard``."""
-    blocks = asked.select("dim", "shard", "block").distinct()
-    key = ["dim", "shard", "block"]
-    spread = tagged.join(blocks, ["dim", "shard"]).select(*[F.col(c).alias(c) for c in (*key, "id", "v")])
-    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
-    return asked.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(search, FOUND)
+def each_shard(candidates: DataFrame, asked: DataFrame, shards: int, blocks: int, index: Callable, search: Callable, score: str) -> DataFrame:
+    """query_id, vec_ids and scores that ``search(index, ids, vectors, bounds)`` finds for the rows of ``asked``.
 
-
-def merged(found: DataFrame, k: int, score_type: str) -> DataFrame:
+    ``asked`` has id, v, dim, shard (where to look), block and bound (null: none); ``index(ids,
+    vectors)`` is made once for a shard and a block.  Candidates come first in the order of a
+    partition, so that they are held, and queries are not.
+    """
+    copies = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    held = candidates.select("dim", "shard", copies, F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("double").alias("bound"))
+    rows = held.unionByName(asked.select("dim", "shard", "block", F.lit(1).alias("kind"), "id", "v", F.col("bound").cast("double").alias("bound")))
+    # a task for each shard and block: by a hash several might meet in one task
+    rows = rows.withColumn("task", F.col("shard") * blocks + F.col("block")).repartitionById(shards * blocks, "task").sortWithinPartitions("task", "dim", "kind").drop("task")
+    kind = pa.int64() if score == "bigint" else pa.float64()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ids, vectors, made = None, [], [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "shard", "block", "kind")])
+            starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])) if batch.num_rows else []
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                part, key = batch.slice(a, b - a), tuple(keys[:3, a])
+                if key != here:
+                    here, ids, vectors, made = key, [], [], None
+                if keys[3, a] == 0:
+                    ids.append(part.column("id").to_numpy())
+                    vectors.append(matrix(part.column("v")))
+                    continue
+                if not ids:  # vectors of a length that nothing else here has
+                    continue
+                if made is None:
+                    made = index(np.concatenate(ids), np.concatenate(vectors))
+                    vectors.clear()
+                for first in range(0, part.num_rows, 256):
+                    some = part.slice(first, 256)
+                    found = search(made, some.column("id").to_pylist(), matrix(some.column("v")), some.column("bound").to_numpy(zero_copy_only=False))
+                    yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(kind))], ["query_id", "vec_ids", "scores"])
+
+    return rows.mapInArrow(run, f"query_id bigint, vec_ids array<bigint>, scores array<{score}>")
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id and score of the k best over all that shards found."""
     rows = found.select("query_id", F.explode(F.arrays_zip(F.col("scores"), F.col("vec_ids"))).alias("x")).select("query_id", F.col("x.vec_ids").alias("vec_id"), F.col("x.scores").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast(score_type).alias("score"))
-
-
-def found_table(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
-    return pa.table({
-        "query_id": pa.array([r[0] for r in rows], pa.int64()),
-        "vec_ids": pa.array([r[1] for r in rows], pa.list_(pa.int64())),
-        "scores": pa.array([r[2] for r in rows], pa.list_(pa.float64())),
-    })
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
