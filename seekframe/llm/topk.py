@@ -3,15 +3,18 @@
 Every shard of the candidates has a ball tree.  No vector in a ball with centre c and
 radius r has an inner product with q above ``q.c + |q| r``; a query visits nodes in the
 order of that bound and stops when the next bound is below its k-th best score so far.
-The k-th score is shared between shards: a query is searched in its home shard first,
-and what it finds there is the bound with which it enters all others.
+The k-th score is shared between shards: queries visit them in rounds, first their home
+shard, then ever larger groups of others, and enter each round with the k-th best score
+over all shards of the rounds before.
 
-Components are turned into integers first, so scores are exact.
+Components are turned into integers first.  Where double precision could round a sum, the
+scores of all rows within the rounding error of the bound are taken again in whole numbers,
+so scores are exact; one beyond 64 bits is given as the largest or least long.
 
 Results: vectors that are null, empty, or hold a null or a component that is not finite
 take no part; a zero vector does.  Only vectors of equal length are compared.  Ties go to
 the smaller id; a query is never its own result; with fewer than k candidates it returns
-what there is.  Integers beyond 2**31 in size are outside the contract of the exact sums.
+what there is.
 """
 
 from __future__ import annotations
@@ -19,14 +22,17 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekframe.llm import vector_search as vs
 from seekframe.llm.runtime import materialise
 
 SHARD_ROWS, LEAF = 4096, 128
+#: A round visits so many times as many shards as all before it.
+GROWTH = 4
+#: Doubles hold whole numbers up to this exactly.
+EXACT = 2.0**53
 
 
 class BallTree:
@@ -58,13 +64,24 @@ class BallTree:
         self.sorted = np.ascontiguousarray(points[self.order])
         self.centres, self.radii = np.array(centres), np.array(radii)
         self.slack = 1e-9 * (np.sqrt((self.centres**2).sum(1)) + self.radii + 1)
+        self.longest = np.sqrt((points**2).sum(1).max(initial=0.0))
 
     def search(self, query: np.ndarray, k: int, bound: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores that hold all of the k best not below ``bound``.
 
-        ``counts`` says for how many candidates each row stands.
+        ``counts`` says for how many candidates each row stands.  Scores are longs.
         """
         length = np.sqrt(query @ query)
+        # how far a sum in double precision can be off; none if all of it are whole numbers below EXACT
+        error = 0.0 if length * self.longest < EXACT / 2 else 4e-16 * (len(query) + 2) * length * self.longest
+        rows, scores = self._within(query, length, k, bound - 2 * error, counts, error)
+        if not error:
+            return rows, scores.astype(np.int64)
+        whole = [int(x) for x in query]
+        sums = [sum(a * int(b) for a, b in zip(whole, self.points[r], strict=True)) for r in rows]
+        return rows, np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in sums], np.int64)
+
+    def _within(self, query: np.ndarray, length: float, k: int, bound: float, counts: np.ndarray, error: float) -> tuple[np.ndarray, np.ndarray]:
         bounds = (self.centres @ query + length * (self.radii + self.slack) + self.slack).tolist()
         queue = [(-bounds[0], 0)]
         rows, scores = np.zeros(0, np.int64), np.zeros(0)
@@ -86,7 +103,7 @@ class BallTree:
                 order = np.argsort(-scores, kind="stable")
                 full = np.searchsorted(np.cumsum(counts[rows[order]]), k)
                 if full < len(order):
-                    bound = max(bound, scores[order[full]])
+                    bound = max(bound, scores[order[full]] - 2 * error)
                     keep = scores >= bound
                     rows, scores = rows[keep], scores[keep]
         return rows, scores
@@ -101,24 +118,40 @@ def top_k(table: DataFrame, queries: Column, k: int = 20, *, id_col: str = "vec_
     vector = F.col(vector_col).cast("array<double>")
     rows = table.where(vs.usable(vector, zero=True) & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), quantised(vector, scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    tagged, asked, shards, _ = vs.dealt(rows, F.col("asks"), SHARD_ROWS)
-    tagged, asked = tagged.drop("asks"), asked.drop("asks").withColumn("bound", F.lit(float("-inf")))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if left.num_rows and right.num_rows:
-            shard = vs.Shard(right.column("id").to_numpy(), vs.matrix(right.column("v")))
-            tree = BallTree(shard.vectors)
-            counts = np.diff(shard.starts)
-            for query_id, q, bound in zip(left.column("id").to_pylist(), vs.matrix(left.column("v")), left.column("bound").to_pylist(), strict=True):
-                # one more than k, as the query itself may be among them
-                found.append((query_id, *shard.best(query_id, *tree.search(q, k + 1, bound, counts), k)))
-        return vs.found_table(found)
-
-    home = materialise(vs.each_shard(tagged, asked, search), "topk-home")
-    if shards == 1:
-        return vs.merged(home, k, "long")
-    known = home.select(F.col("query_id").alias("id"), F.when(F.size("scores") >= k, F.element_at("scores", k)).otherwise(F.lit(float("-inf"))).alias("bound"))
-    others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard"))
-    away = asked.drop("bound").join(known, "id", "left").fillna(float("-inf"), ["bound"]).withColumn("shard", F.explode(others))
-    return vs.merged(home.unionByName(vs.each_shard(tagged, away, search)), k, "long")
+    candidates, asked, shards, blocks = vs.dealt(rows, F.col("asks"), SHARD_ROWS)
+
+    def index(ids: np.ndarray, vectors: np.ndarray) -> tuple[vs.Shard, BallTree, np.ndarray]:
+        shard = vs.Shard(ids, vectors)
+        return shard, BallTree(shard.vectors), np.diff(shard.starts)
+
+    def search(made: tuple[vs.Shard, BallTree, np.ndarray], ids: list[int], vectors: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        shard, tree, counts = made
+        out = []
+        for query_id, q, bound in zip(ids, vectors, np.nan_to_num(bounds, nan=-np.inf), strict=True):
+            # one more than k, as the query itself may be among them
+            out.append(shard.best(query_id, *tree.search(q, k + 1, bound, counts), k))
+        return out
+
+    best, done, home = None, 0, F.col("shard")
+    while done < shards:
+        more = min(shards - done, max(1, (GROWTH - 1) * done))
+        steps = F.sequence(F.lit(done), F.lit(done + more - 1))
+        turn = asked.withColumn("bound", F.lit(None))
+        if best is not None:
+            known = best.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("least"))
+            # a long near the largest may round up as a double
+            turn = asked.join(known, asked["id"] == known["query_id"], "left").withColumn("bound", F.col("least").cast("double") * F.when(F.abs("least") > int(EXACT), 1 - F.signum("least") * 1e-15).otherwise(1.0))
+        turn = turn.select("id", "v", "dim", F.explode(F.transform(steps, lambda x: F.pmod(home + x, F.lit(shards)))).alias("shard"), "block", "bound")
+        found = vs.each_shard(candidates, turn, shards, blocks, index, search, "bigint")
+        found = vs.merged(found, k) if best is None else _best(vs.merged(found, k), best, k)
+        done += more
+        if done < shards:
+            found = materialise(found, "topk-round")
+        best = found
+    return best
+
+
+def _best(one: DataFrame, other: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    both = one.unionByName(other).withColumn("rank", F.row_number().over(order))
+    return both.where(F.col("rank") <= k)
