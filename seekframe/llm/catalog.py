@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekframe.llm import ann, bpe, html_extract, lang_id, mixing, near_dup, suffix_dedup, topk, url_filter, warc
 from seekframe.llm.runtime import new_path, release
 
-#: The folder of the public tokenizer files on every machine; a parameter of the queries that need one.
-TOKENIZERS = "/opt/tokenizers"
+#: The vocabulary of op9: a file of the public tokenizers that every machine has; its path is a parameter.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +75,7 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
+def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer, ids=False, decoded=False)
 
 

@@ -19,7 +19,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seekframe.llm import ann, bpe, html_extract, lang_id, mixing, near_dup, rolling, runtime, suffix_dedup, topk, url_filter, warc
-from seekframe.llm.catalog import TOKENIZERS, URL_RULES
+from seekframe.llm.catalog import TOKENIZER, URL_RULES
 from seekframe.llm.runtime import new_path, utf8_chunks
 
 
@@ -346,17 +346,49 @@ def test_ann_finds_the_nearest(spark, monkeypatch):
     assert recall >= 0.9
 
 
-def test_forest_recall_where_it_does_not_look_at_all():
+@pytest.mark.parametrize("n", [700, 2500, 9000])
+def test_forest_recall_where_it_does_not_look_at_all(n):
     rng = np.random.default_rng(1)
-    points = rng.standard_normal((9000, 64))
+    points = rng.standard_normal((n, 64))
     points /= np.linalg.norm(points, axis=1, keepdims=True)
-    forest = ann.Forest(points)
+    forest, wanted = ann.Forest(points), max(ann.LEAST, int(ann.FRACTION * n))
     found = []
-    for q in points[::300]:
-        met = forest.candidates(q, int(ann.FRACTION * len(points)))
-        assert len(met) < 0.7 * len(points)
+    for q in points[:: n // 30]:
+        met = forest.candidates(forest.units @ q, wanted)
+        assert min(n, wanted) <= len(met) <= wanted + ann.STEP * forest.rows.shape[1]
         found.append(len(set(np.argsort(-(points @ q))[:20]) & set(met)) / 20)
     assert np.mean(found) >= 0.9
+    assert len(forest.candidates(forest.units @ q, n + 1)) == n
+
+
+def test_scores_beyond_doubles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-(2**24), 2**24, 6)]) for i in range(300)]
+    rows += [(i, [x + float(j) / 64 for x in rows[0][1]]) for i, j in ((400, 1), (401, 1), (402, 2), (403, 0))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((-r["score"], r["vec_id"]))
+    for q, v in whole:
+        if q % 20 == 0:
+            assert got[q] == sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)[:20]
+
+
+def test_an_index_serves_all_queries_and_bounds_tighten(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(400)] + [(i, [1.0, 2.0]) for i in range(400, 420)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = exact([r for r in rows if len(r[1]) == 6], True, 64)
+    for block in (1 << 18, 7):
+        monkeypatch.setattr(topk.vs, "BLOCK_ROWS", block)
+        monkeypatch.setattr(topk, "SHARD_ROWS", 30)
+        got = defaultdict(list)
+        for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((-r["score"], r["vec_id"]))
+        assert got.pop(400) == [(-(64 * 64 + 128 * 128), i) for i in range(401, 420)]
+        assert got == {q: [(int(s), i) for s, i in w] for q, w in want.items()}
 
 
 def test_searches_with_few_or_no_candidates(spark):
@@ -750,7 +782,7 @@ def test_templates_equal_brute_force(spark):
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = TOKENIZER
     library = Tokenizer.from_file(path)
     rng = random.Random(5)
     letters = [chr(c) for c in [*range(0, 0x250), *range(0x370, 0x400), *range(0x2000, 0x2070), 0x1F600, 0x1F3FD, 0xFB01, 0x1E9E, 0x130]]
@@ -767,7 +799,7 @@ def test_bpe_equals_the_library(spark):
 
 
 def test_certain_cuts_never_split_a_token():
-    b = bpe.WordBpe(f"{TOKENIZERS}/word_bpe_49k.json")
+    b = bpe.WordBpe(TOKENIZER)
     word = "".join(b.letters[x] for x in "straßenbahnqzxj".encode())
     pieces = b.fragments(word)
     assert "".join(pieces) == word and len(pieces) > 1
