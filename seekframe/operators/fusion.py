@@ -41,6 +41,17 @@ def rrf(hits: DataFrame, k: int = 60, *, leg_weights: Mapping[str, float] | None
     return (ranked if limit is None else ranked.where(F.col("rank") <= limit)).select("query_id", "id", "score", "source", "rank")
 
 
+def federated(hits: DataFrame, registry: DataFrame, leg: str, *, limit: int | None = None) -> DataFrame:
+    """One leg's hits of several repositories, each a list of its own, fused by the weights of the registry.
+
+    ``hits``: query_id, id, rank, score, alias.  ``registry``: alias, list_idx, weight; a repository that is not in it has no say.
+    """
+    known = hits.join(registry, "alias")
+    weights = {f"{r['alias']}:{leg}": r["weight"] for r in registry.collect()}  # a row for each repository
+    rows = known.select("query_id", "list_idx", F.concat("alias", F.lit(f":{leg}")).alias("source"), F.col("rank").cast("long").alias("pos"), "id", F.col("score").cast("double").alias("score"))
+    return rrf(rows, leg_weights=weights, limit=limit)
+
+
 def dedup_best(hits: DataFrame) -> DataFrame:
     """One row per query and id, that of the best score; of equal ones the first."""
     order = Window.partitionBy("query_id", "id").orderBy(F.col("score").desc(), "list_idx", "pos")
@@ -50,7 +61,7 @@ def dedup_best(hits: DataFrame) -> DataFrame:
 def boost(hits: DataFrame, central: DataFrame, factor: float = 1.3, head: int = 200) -> DataFrame:
     """Hits among the ``head`` most central nodes (id, centrality) count ``factor`` times."""
     best = central.orderBy(F.col("centrality").desc(), "id").limit(head).select("id", F.lit(True).alias("is_central"))
-    joined = hits.join(F.broadcast(best), "id", "left").withColumn("score", F.round(F.when(F.col("is_central"), F.col("score") * factor).otherwise(F.col("score")), 9))
+    joined = hits.join(best, "id", "left").withColumn("score", F.round(F.when(F.col("is_central"), F.col("score") * factor).otherwise(F.col("score")), 9))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank", "id")
     return joined.select("query_id", "id", "score", F.row_number().over(order).cast("long").alias("rank"))
 
@@ -71,7 +82,7 @@ def xtr(scores: DataFrame, query_tokens: DataFrame, impute: float) -> DataFrame:
     n = query_tokens.groupBy("query_id").agg(F.count(F.lit(1)).alias("tokens"))
     best = scores.groupBy("query_id", "id", "token").agg(F.max("score").alias("best"))
     found = best.groupBy("query_id", "id").agg(F.sum("best").alias("total"), F.count(F.lit(1)).alias("met"))
-    return found.join(F.broadcast(n), "query_id").select("query_id", "id", F.round((F.col("total") + (F.col("tokens") - F.col("met")) * impute) / F.col("tokens"), 6).alias("score"))
+    return found.join(n, "query_id").select("query_id", "id", F.round((F.col("total") + (F.col("tokens") - F.col("met")) * impute) / F.col("tokens"), 6).alias("score"))
 
 
 def page(ranked: DataFrame, cursor: int, size: int) -> DataFrame:

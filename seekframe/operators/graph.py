@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seekframe.functions.tables import step
+from seekframe.functions.tables import discard, step
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -40,16 +40,98 @@ def expansion_scores(found: DataFrame, base: float, decay: float = 0.5) -> DataF
     return found.withColumn("score", F.round(F.lit(base) * F.pow(F.lit(decay), F.col("hop")), 9))
 
 
+def expand_calls(calls: DataFrame, seeds: DataFrame, ranks: DataFrame, base: float, depth: int = 1, most: int = 10) -> DataFrame:
+    """id, hop, score, rank of the symbols around the seeds: nearer ones first, within a hop by PageRank; each hop halves the score.
+
+    Where fewer than three are found, ranks say too little and ids decide.
+    """
+    found = bfs(calls, seeds, depth).where("hop > 0").join(ranks.select("id", F.col("rank").alias("central")), "id", "left")
+    found = found.crossJoin(found.agg(F.count(F.lit(1)).alias("found")))  # one row
+    order = Window.orderBy("hop", F.when(F.col("found") >= 3, F.coalesce("central", F.lit(0.0))).otherwise(0.0).desc(), "id")
+    first = found.orderBy("hop", F.when(F.col("found") >= 3, F.coalesce("central", F.lit(0.0))).otherwise(0.0).desc(), "id").limit(most)
+    return expansion_scores(first.withColumn("rank", F.row_number().over(order).cast("long")), base).select("id", "hop", "score", "rank")
+
+
+def expand_imports(imports: DataFrame, seeds: DataFrame, symbols: DataFrame, base: float, depth: int = 1, direction: str = "both", most: int = 5, most_files: int = 60, per_file: int = 3) -> DataFrame:
+    """id, grp, score, rank of the first symbols of files (grp) that imports lead to from the seeds' files.
+
+    ``imports``: src, dst files.  ``seeds``: grp.  ``symbols``: id, grp, kind, line.  Seeds count among the ``most_files``.
+    """
+    from seekframe.operators.lookup import top_per_file
+
+    files = bfs(imports, seeds.select(F.col("grp").alias("id")).distinct(), depth, direction, most_files).where("hop > 0")
+    top = top_per_file(symbols, per_file).join(files.select(F.col("id").alias("grp"), "hop"), "grp")
+    first = top.orderBy("hop", "grp", "n").limit(most).withColumn("rank", F.row_number().over(Window.orderBy("hop", "grp", "n")).cast("long"))
+    return first.select("id", "grp", F.round(F.lit(base * 0.15), 9).alias("score"), "rank")
+
+
+def expand_types(edges: DataFrame, seeds: DataFrame, base: float, children: int = 15, most: int = 5) -> DataFrame:
+    """id, score, rank of parents and of the first ``children`` children of each seed (id, place), in the seeds' order.
+
+    ``edges``: src extends dst.
+    """
+    up = edges.join(seeds, F.col("src") == F.col("id")).select("place", F.lit(0).alias("way"), F.col("dst").alias("to"))
+    down = edges.join(seeds, F.col("dst") == F.col("id")).select("place", F.lit(1).alias("way"), F.col("src").alias("to"))
+    down = down.distinct().withColumn("n", F.row_number().over(Window.partitionBy("place").orderBy("to"))).where(F.col("n") <= children).drop("n")
+    met = up.unionByName(down).join(seeds.select(F.col("id").alias("to")), "to", "left_anti").groupBy("to").agg(F.min(F.struct("place", "way")).alias("at"))
+    first = met.orderBy("at", "to").limit(most).withColumn("rank", F.row_number().over(Window.orderBy("at", "to")).cast("long"))
+    return first.select(F.col("to").alias("id"), F.round(F.lit(base * 0.2), 9).alias("score"), "rank")
+
+
+def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges both of whose ends are among ``nodes`` (id)."""
+    return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+def shortest_path(edges: DataFrame, start: str, end: str, most: int = 8) -> DataFrame:
+    """place, id along a shortest way between two nodes, direction ignored; of several the one whose nodes, from the end back, come first.
+
+    Empty if they are more than ``most`` steps apart.
+    """
+    spark = edges.sparkSession
+    pairs = step(both_ways(edges), "path-edges")
+    seen = spark.createDataFrame([(start, 0, None)], "id string, hop int, via string")
+    for hop in range(1, most + 1):
+        if not seen.where(F.col("id") == end).isEmpty():
+            break
+        edge = seen.where(F.col("hop") == hop - 1)
+        reached = pairs.join(edge.select(F.col("id").alias("src")), "src").groupBy("dst").agg(F.min("src").alias("via"))
+        new = reached.join(seen.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("id"), F.lit(hop).alias("hop"), "via")
+        seen = step(seen.unionByName(new), "path")
+    way, at = [], end
+    while (row := seen.where(F.col("id") == at).first()) is not None:  # one node a step, ``most`` at most
+        way.append((row["hop"], at))
+        if row["via"] is None:
+            break
+        at = row["via"]
+    return spark.createDataFrame(sorted(way), "place int, id string")
+
+
+def code_graph(calls: DataFrame, imports: DataFrame, types: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """src, dst, kind, weight of all edges between typed nodes, each pair and kind once; other edges count both ways.
+
+    Tables have src and dst (``other`` kind and weight too); ids have their type in front.
+    """
+    parts = [df.groupBy("src", "dst").agg(F.lit(kind).alias("kind"), F.lit(1.0).alias("weight")) for kind, df in (("calls", calls), ("imports", imports), ("extends", types))]
+    if other is not None:
+        both = other.select("src", "dst", "kind", "weight").unionByName(other.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind", "weight"))
+        parts.append(both.groupBy("src", "dst", "kind").agg(F.max("weight").alias("weight")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, *, teleport: DataFrame | None = None, simple: bool = False, normalise: bool = False, tolerance: float | None = None) -> DataFrame:
     """id, rank.  Parallel edges and weights add up unless ``simple``; dangling mass goes where teleports go.
 
     ``teleport`` (id) restricts the restart to some nodes; ``normalise`` divides by the largest rank.
     """
     weighted = edges.select("src", "dst", F.col("weight").cast("double").alias("w") if "weight" in edges.columns else F.lit(1.0).alias("w"))
-    weighted = weighted.groupBy("src", "dst").agg(F.lit(1.0).alias("w") if simple else F.sum("w").alias("w"))
+    weighted = step(weighted.groupBy("src", "dst").agg(F.lit(1.0).alias("w") if simple else F.sum("w").alias("w")), "rank-edges")
     out = weighted.groupBy("src").agg(F.sum("w").alias("out"))
     links = step(weighted.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")), "rank-links")
-    nodes = nodes_of(edges)
+    nodes = nodes_of(weighted)
     if teleport is not None:
         marked = nodes.join(teleport.select("id", F.lit(1.0).alias("t")).distinct(), "id", "left").fillna(0.0, ["t"])
     else:
@@ -58,21 +140,26 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, *, t
     start = start.select("id", F.when(F.col("all") > 0, F.col("t") / F.col("all")).otherwise(1 / F.col("n")).alias("v"))
     start = step(start.join(out.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").fillna(True, ["dangling"]), "rank-nodes")
     n = start.count()
-    ranks = start.withColumn("rank", F.lit(1.0 / n if n else 0.0))
-    for i in range(iterations):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
+    ranks, written = start.withColumn("rank", F.lit(1.0 / n if n else 0.0)), None
+    for _ in range(iterations):
+        # one number; each round is written down, so plans don't grow with the rounds
+        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0]
         sent = ranks.join(links, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        next_ = start.join(sent, F.col("id") == F.col("dst"), "left").crossJoin(F.broadcast(lost))
-        next_ = next_.select("id", "v", "dangling", ((1 - damping) * F.col("v") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("v"))).alias("rank"))
-        next_ = step(next_, "rank") if (i + 1) % 5 == 0 or tolerance is not None else next_
+        next_ = start.join(sent, F.col("id") == F.col("dst"), "left")
+        next_ = next_.select("id", "v", "dangling", ((1 - damping) * F.col("v") + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("v"))).alias("rank"))
+        next_ = step(next_, "rank")
+        change = None
         if tolerance is not None:
             change = next_.select("id", "rank").join(ranks.select("id", F.col("rank").alias("was")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
-            ranks = next_
-            if change is not None and change < tolerance * n:
-                break
-        ranks = next_
+        if written is not None:
+            discard(written)
+        ranks = written = next_
+        if change is not None and change < tolerance * n:
+            break
+    discard(weighted, links)
     if normalise:
-        ranks = ranks.crossJoin(F.broadcast(ranks.agg(F.max("rank").alias("top")))).withColumn("rank", F.col("rank") / F.col("top"))
+        top = ranks.agg(F.max("rank")).first()[0]
+        ranks = ranks.withColumn("rank", F.col("rank") / F.lit(top))
     return ranks.select("id", "rank")
 
 
@@ -87,27 +174,33 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id, component: the smallest id that can be reached."""
     pairs = step(both_ways(edges), "components-edges")
-    labels = step(nodes_of(edges).select("id", F.col("id").alias("component")), "components")
+    labels = written = step(pairs.select(F.col("src").alias("id")).unionByName(edges.where("src = dst").select(F.col("src").alias("id"))).distinct().select("id", F.col("id").alias("component")), "components")
     while True:
         near = pairs.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("near"))
         moved = labels.join(near, F.col("id") == F.col("src"), "left").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         # the label's own label: chains shrink by half each round
         hop = moved.select(F.col("id").alias("to"), F.col("to").alias("far"))
         moved = step(moved.join(hop, "to").select("id", F.least("to", "far").alias("component"), "was"), "components")
+        discard(written)
         if moved.where("component <> was").isEmpty():
+            discard(pairs)
             return moved.select("id", "component")
-        labels = moved.select("id", "component")
+        labels, written = moved.select("id", "component"), moved
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """id, community: every round each node takes the commonest label around it, of equal ones the smallest."""
     pairs = step(both_ways(edges), "labels-edges")
-    labels = nodes_of(edges).select("id", F.col("id").alias("community"))
+    labels, written = nodes_of(edges).select("id", F.col("id").alias("community")), None
     order = Window.partitionBy("src").orderBy(F.col("votes").desc(), "community")
     for _ in range(rounds):
         votes = pairs.join(labels, F.col("dst") == F.col("id")).groupBy("src", "community").agg(F.count(F.lit(1)).alias("votes"))
         best = votes.withColumn("n", F.row_number().over(order)).where("n = 1").select(F.col("src").alias("id"), F.col("community").alias("next"))
         labels = step(labels.join(best, "id", "left").select("id", F.coalesce("next", "community").alias("community")), "labels")
+        if written is not None:
+            discard(written)
+        written = labels
+    discard(pairs)
     return labels
 
 
@@ -143,7 +236,9 @@ def louvain(edges: DataFrame, rounds: int = 6) -> DataFrame:
         order = Window.partitionBy("src").orderBy(F.col("gain").desc(), (F.col("community") == F.col("own")).desc(), "community")
         best = gain.withColumn("n", F.row_number().over(order)).where("n = 1").select(F.col("src").alias("id"), F.col("community").alias("best"))
         turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        state = step(state.join(best, "id", "left").select("id", "k", F.when(turn, F.coalesce("best", "community")).otherwise(F.col("community")).alias("community")), "louvain")
+        before, state = state, step(state.join(best, "id", "left").select("id", "k", F.when(turn, F.coalesce("best", "community")).otherwise(F.col("community")).alias("community")), "louvain")
+        discard(before)
+    discard(pairs)
     return state.select("id", "community")
 
 

@@ -64,12 +64,13 @@ def breadth_first(hits: DataFrame, budget: int, per_group: int = 2) -> DataFrame
     return greedy(kept.withColumn("rank", F.row_number().over(order).cast("long")).select("query_id", "id", "rank", "tokens"), budget)
 
 
-def batches(rows: DataFrame, most: int, by: str) -> DataFrame:
+def batches(rows: DataFrame, most: int, *by: str) -> DataFrame:
     """by, id, batch: consecutive rows share a batch until the next would take it above ``most`` tokens.
 
-    ``rows``: by, pos, id, tokens.  A row larger than ``most`` is a batch of its own.
+    ``rows``: by, pos, id, tokens.  A row larger than ``most`` is a batch of its own.  A group is folded
+    as a whole, so ``by`` has to bound it: a page of a file's chunks, not a repository.
     """
-    lists = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "id", F.col("tokens").cast("long").alias("tokens")))).alias("items"))
+    lists = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "id", F.col("tokens").cast("long").alias("tokens")))).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("batch"), F.array().cast("array<bigint>").alias("out"))
 
     def add(s: Column, x: Column) -> Column:
@@ -78,7 +79,7 @@ def batches(rows: DataFrame, most: int, by: str) -> DataFrame:
         return F.struct(F.when(over, x["tokens"]).otherwise(s["used"] + x["tokens"]).cast("long").alias("used"), batch.alias("batch"), F.concat(s["out"], F.array(batch)).alias("out"))
 
     lists = lists.withColumn("batch", F.aggregate("items", start, add, lambda s: s["out"]))
-    return lists.select(by, F.explode(F.arrays_zip("items", "batch")).alias("z")).select(by, F.col("z.items.id").alias("id"), F.col("z.batch").alias("batch"))
+    return lists.select(*by, F.explode(F.arrays_zip("items", "batch")).alias("z")).select(*by, F.col("z.items.id").alias("id"), F.col("z.batch").alias("batch"))
 
 
 def context(taken: DataFrame) -> DataFrame:

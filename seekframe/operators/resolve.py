@@ -26,26 +26,70 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, strict: bool = False) ->
     return joined.select("call_id", "callee_name", F.coalesce("id1", "id2", "id3").alias("callee_id"), step.cast("long").alias("step"))
 
 
+# Extensions of modules, folders that module names leave out, and names that are never files of a repository.
+MODULE_EXTENSIONS = "py ts tsx js jsx mjs go rs java".split()
+SOURCE_ROOTS = "src lib app".split()
+FOREIGN = "java. javax. android. kotlin. std:: core:: alloc:: react vue @angular @types/ lodash axios express next nuxt".split()
+
+
+def _module_keys(files: DataFrame) -> DataFrame:
+    """key, file_id, exact: the names by which files are imported; one file for each, whole paths before folders before last parts."""
+    extension = F.regexp_extract("rel_path", r"\.([A-Za-z]+)$", 1)
+    known = extension.isin(MODULE_EXTENSIONS)
+    stem = F.when(known, F.regexp_replace("rel_path", r"\.[A-Za-z]+$", "")).otherwise(F.col("rel_path"))
+    # a folder is a module by a file in it, whose name depends on the language
+    stem = F.when(extension == "rs", F.regexp_replace(stem, "/mod$", "")).when(extension.isin("ts", "tsx", "js", "jsx", "mjs"), F.regexp_replace(stem, "/index$", "")).otherwise(stem)
+    rooted = lambda c: F.regexp_replace(c, f"^({'|'.join(SOURCE_ROOTS)})/", "")
+    rows = files.select("file_id", stem.alias("stem")).withColumn("folder", F.when(F.endswith("stem", F.lit("/__init__")), F.regexp_replace("stem", "/__init__$", "")))
+    key = lambda turn, c: F.struct(F.lit(turn).alias("turn"), c.alias("key"))
+    keys = F.array(key(0, F.col("stem")), key(0, rooted(F.col("stem"))), key(1, F.col("folder")), key(1, rooted(F.col("folder"))), key(2, F.element_at(F.split("stem", "/"), -1)))
+    rows = rows.select("file_id", F.explode(keys).alias("k")).where("k.key IS NOT NULL AND k.key <> ''")
+    best = rows.groupBy("k.key").agg(F.min(F.struct("k.turn", "file_id")).alias("best"))
+    return best.select("key", F.col("best.file_id").alias("target_id"), (F.col("best.turn") < 2).alias("exact"))
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """``imports`` (import_id, specifier) with file_id, by the longest tail of the dotted name that is a file's.
+    """``imports`` (import_id, file_id, specifier) with target_id, the file that the specifier means to the importing file.
 
-    ``files``: file_id, rel_path.  A file answers to its path without extension and to the
-    last three, two and one parts of it; a package directory to its ``__init__``, ``index`` or ``mod.rs``.
+    ``files``: file_id, rel_path.  A relative specifier names one exact path: dots without a slash
+    climb from the importer's package (one dot stays), a path climbs by its ``..``; there is no
+    fallback to similar names.  Others try their whole name and its last parts.  A file does not
+    import itself; bare words and well-known packages are no files.
     """
-    stem = F.regexp_replace(F.regexp_replace("rel_path", r"/(__init__\.pyi?|index\.[jt]sx?|mod\.rs)$", ""), r"\.[A-Za-z0-9]+$", "")
-    parts = F.split(stem, "/")
-    keys = F.array(
-        F.struct(F.lit(0).alias("priority"), stem.alias("key")),
-        *[F.struct(F.lit(4 - n).alias("priority"), F.array_join(F.slice(parts, -F.least(F.lit(n), F.size(parts)), F.lit(n)), "/").alias("key")) for n in (3, 2, 1)],
+    paths = files.select("file_id", F.split("rel_path", "/").alias("parts")).select("file_id", F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))).alias("dirs"))
+    asked = imports.join(paths, "file_id", "left").withColumn("dirs", F.coalesce("dirs", F.array().cast("array<string>")))
+    name = F.col("specifier")
+    dots = F.length(F.regexp_extract(name, r"^\.*", 0))
+    stay = F.size("dirs") - (dots - 1)
+    package = F.when(stay >= 0, F.array_join(F.concat(F.slice("dirs", 1, F.greatest(stay, F.lit(0))), F.filter(F.split(F.regexp_replace(name, r"^\.+", ""), r"\."), lambda x: x != "")), "/"))
+
+    def climb(done, part):
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when((part == "") | (part == "."), done).otherwise(F.concat(done, F.array(part)))
+
+    path = F.array_join(F.aggregate(F.split(name, "/"), F.col("dirs"), climb), "/")
+    bare = F.regexp_replace(path, r"\.(ts|tsx|js|jsx|mjs|py)$", "")
+    tails = lambda c, *n: [F.when(F.size(F.split(c, "/")) >= i, F.array_join(F.slice(F.split(c, "/"), -i, i), "/")) for i in n]
+    dotted = F.regexp_replace(name, r"\.", "/")
+    crate = F.regexp_replace(F.regexp_replace(name, r"^(crate::)?(super::)?(self::)?", ""), "::", "/")
+    foreign = F.lit(False)
+    for x in FOREIGN:
+        foreign = foreign | (name == x) | F.startswith(name, F.lit(x + ".")) | F.startswith(name, F.lit(x + "/")) | F.startswith(name, F.lit(x + "::"))
+    nothing = F.array().cast("array<string>")
+    relative = F.startswith(name, F.lit("."))
+    tries = (
+        F.when(relative & ~F.contains(name, F.lit("/")), F.array(package))
+        .when(relative, F.array(path, bare))
+        .when(foreign | ~name.rlike(r"[./]|::"), nothing)
+        .when(F.contains(name, F.lit("/")), F.array(*tails(name, 3, 2, 1)))
+        .when(F.contains(name, F.lit("::")), F.array(crate, *tails(crate, 2, 1)))
+        .otherwise(F.array(dotted, *tails(dotted, 2, 1)))
     )
-    lookup = files.select("file_id", F.explode(keys).alias("k")).select("file_id", "k.key", "k.priority")
-    best = lookup.groupBy("key").agg(F.min(F.struct("priority", "file_id")).alias("best")).select("key", "best.priority", "best.file_id")
-    plain = F.regexp_replace(F.regexp_replace("specifier", r"^(\./|\.\./)+|^[.:]+", ""), r"\.|::", "/")
-    names = F.split(plain, "/")
-    tries = F.array(F.struct(F.lit(0).alias("turn"), plain.alias("key")), *[F.struct(F.lit(4 - n).alias("turn"), F.array_join(F.slice(names, -F.least(F.lit(n), F.size(names)), F.lit(n)), "/").alias("key")) for n in (3, 2, 1)])
-    asked = imports.select("import_id", "specifier", F.explode(tries).alias("t")).select("import_id", "specifier", "t.turn", "t.key")
-    hit = asked.join(best, "key").groupBy("import_id").agg(F.min(F.struct("turn", "priority", "file_id")).alias("h")).select("import_id", F.col("h.file_id").alias("file_id"))
-    return imports.join(hit, "import_id", "left")
+    turns = asked.select("import_id", "file_id", relative.alias("relative"), F.posexplode(tries).alias("turn", "key")).where("key IS NOT NULL AND key <> ''")
+    hits = turns.join(_module_keys(files), "key").where(~F.col("relative") | F.col("exact"))
+    first = hits.groupBy("import_id", "file_id").agg(F.min(F.struct("turn", "target_id")).alias("hit"))
+    found = first.select("import_id", F.col("hit.target_id").alias("target_id")).where(F.col("target_id") != F.col("file_id"))
+    return imports.join(found, "import_id", "left")
 
 
 def resolve_types(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -81,10 +125,16 @@ def link_texts(texts: DataFrame, symbols: DataFrame, common: list[str] | None =
     return found.join(index, "key").select("ref", "symbol_id").distinct()
 
 
-def link_tickets(commits: DataFrame, symbols: DataFrame, pattern: str = r"[A-Z][A-Z0-9]{1,9}-[0-9]+") -> DataFrame:
+# Names before a hyphen and a number that are no ticket keys, and the pattern of a key.
+NOT_TICKETS = "UTF SHA MD HTTP HTTPS BASE ISO RFC AES RSA SSL TLS IPV CRC HMAC PBKDF ARGON SIMD X EC GB KB MB TB PY CVE PEP RFE ADR".split()
+TICKET = r"(?<![A-Za-z0-9])(?!(?:" + "|".join(NOT_TICKETS) + r")[0-9]*-\d)[A-Z][A-Z0-9]{1,9}-\d+(?![A-Za-z0-9])"
+
+
+def link_tickets(commits: DataFrame, symbols: DataFrame, pattern: str = TICKET) -> DataFrame:
     """symbol_id, ticket for the symbols of files that a commit naming the ticket touched.
 
-    ``commits``: commit_id, message, files (array).  ``symbols``: id, grp (file).
+    ``commits``: commit_id, message, files (array).  ``symbols``: id, grp (file).  Files and tickets
+    are paired once before symbols are looked up.
     """
     tickets = commits.select("commit_id", "files", F.explode(F.array_distinct(F.regexp_extract_all("message", F.lit(pattern), F.lit(0)))).alias("ticket"))
     touched = tickets.select("ticket", F.explode("files").alias("grp")).distinct()

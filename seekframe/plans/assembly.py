@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekframe.functions import text as T
-from seekframe.operators import packing, structure
-from seekframe.plans.retrieval import _hits, bm25_topk
+from seekframe.operators import fusion, packing, structure
+from seekframe.plans.retrieval import _hits, _rrf_sql, bm25_topk
 from seekframe.plans.tables import table
 
 _WORDS = r"len(regexp_extract_all({}, '[^ \t\r\n]+'))::BIGINT"
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of each source by length: query_id, source, id, rank, score, tokens."""
-    d = table(spark, sf_dir, "documents")
-    order = Window.partitionBy("source").orderBy("n_chars", "doc_id")
-    return d.select(F.col("source").alias("query_id"), F.col("lang").alias("source"), F.col("doc_id").alias("id"), F.row_number().over(order).cast("bigint").alias("rank"), F.col("n_chars").cast("double").alias("score"), T.words(F.col("text")).alias("tokens")).where("rank <= 40")
+    """What the legs found for each question, fused: query_id, source, id, rank, score, tokens.  A list is no longer than the legs' k together."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source"), T.words(F.col("text")).alias("tokens"))
+    return fusion.rrf(_hits(spark, sf_dir)).select("query_id", "id", "rank", "score").join(docs, "id")
 
 
-_RANKED = f"""r AS (SELECT * FROM (SELECT source AS query_id, lang AS source, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rank, n_chars::DOUBLE AS score, {_WORDS.format("text")} AS tokens FROM documents) WHERE rank <= 40)"""
+_RANKED = f"""r AS (SELECT x.query_id, d.lang AS source, x.id, x.rank, x.score, {_WORDS.format("d.text")} AS tokens FROM ({_rrf_sql(limit=1000)}) x JOIN documents d ON d.doc_id = x.id)"""
 
 BUDGET = 1500
 
@@ -65,26 +64,31 @@ SELECT query_id, id, rank, tokens FROM g WHERE took"""
 
 
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranked(spark, sf_dir).select(F.col("query_id").alias("grp"), F.col("rank").alias("pos"), "id", "tokens")
-    return packing.batches(rows, 2000, "grp")
+    """All documents, in pages of a source: those whose ids share all but the last three digits."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.col("source").alias("grp"), F.floor(F.col("doc_id") / 1000).alias("page"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), T.words(F.col("text")).alias("tokens"))
+    return packing.batches(rows, 2000, "grp", "page")
 
 
 BATCHES_SQL = f"""
-WITH RECURSIVE {_RANKED}, g AS (SELECT query_id AS grp, rank, id, tokens AS used, 0::BIGINT AS batch FROM r WHERE rank = 1
-  UNION ALL SELECT g.grp, r.rank, r.id, CASE WHEN used > 0 AND used + r.tokens > 2000 THEN r.tokens ELSE used + r.tokens END, CASE WHEN used > 0 AND used + r.tokens > 2000 THEN batch + 1 ELSE batch END FROM g JOIN r ON r.query_id = g.grp AND r.rank = g.rank + 1)
-SELECT grp, id, batch FROM g"""
+WITH RECURSIVE r AS (SELECT source AS grp, doc_id // 1000 AS page, doc_id AS id, row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) AS rank, {_WORDS.format("text")} AS tokens FROM documents
+), g AS (SELECT grp, page, rank, id, tokens AS used, 0::BIGINT AS batch FROM r WHERE rank = 1
+  UNION ALL SELECT g.grp, g.page, r.rank, r.id, CASE WHEN used > 0 AND used + r.tokens > 2000 THEN r.tokens ELSE used + r.tokens END, CASE WHEN used > 0 AND used + r.tokens > 2000 THEN batch + 1 ELSE batch END FROM g JOIN r ON r.grp = g.grp AND r.page = g.page AND r.rank = g.rank + 1)
+SELECT grp, page, id, batch FROM g"""
 
 
 def context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("path"), F.substring("text", 1, 60).alias("body"), (F.col("n_chars") % 100).alias("line_start"), (F.col("n_chars") % 100 + 7).alias("line_end"), F.concat(F.lit("doc"), "doc_id").alias("name"))
-    return packing.context(bm25_topk(spark, sf_dir).where("rank <= 8").join(docs, "id"))
+    """The context of all hits with their whole texts; its digest, as it is long."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("path"), F.col("text").alias("body"), (F.col("n_chars") % 100).alias("line_start"), (F.col("n_chars") % 100 + 7).alias("line_end"), F.concat(F.lit("doc"), "doc_id").alias("name"))
+    return packing.context(bm25_topk(spark, sf_dir).join(docs, "id")).select("query_id", F.length("context").cast("bigint").alias("length"), F.sha2("context", 256).alias("context_sha"))
 
 
 def context_sql(bm25_sql: str) -> str:
     return f"""
-WITH b AS ({bm25_sql}), t AS (SELECT query_id, source AS path, rank, n_chars % 100 AS s, '[Lines ' || n_chars % 100 || '-' || (n_chars % 100 + 7) || '] doc' || doc_id || chr(10) || substr(text, 1, 60) AS piece FROM b JOIN documents ON doc_id = id WHERE rank <= 8
-), f AS (SELECT query_id, path, min(rank) AS first, '=== ' || path || ' ===' || chr(10) || string_agg(piece, chr(10) || chr(10) ORDER BY s, rank) AS text FROM t GROUP BY 1, 2)
-SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY first) AS context FROM f GROUP BY 1"""
+WITH b AS ({bm25_sql}), t AS (SELECT query_id, source AS path, rank, n_chars % 100 AS s, '[Lines ' || n_chars % 100 || '-' || (n_chars % 100 + 7) || '] doc' || doc_id || chr(10) || text AS piece FROM b JOIN documents ON doc_id = id
+), f AS (SELECT query_id, path, min(rank) AS first, '=== ' || path || ' ===' || chr(10) || string_agg(piece, chr(10) || chr(10) ORDER BY s, rank) AS text FROM t GROUP BY 1, 2
+), c AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY first) AS context FROM f GROUP BY 1)
+SELECT query_id, length(context) AS length, sha256(context) AS context_sha FROM c"""
 
 
 def history_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +103,7 @@ SELECT conv, turn, tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY conv OR
 def lexical_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = T.word_set(F.lit("the erin tion and license"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(packing.segments(F.regexp_replace("text", "\n", "\n\n"))).alias("pos", "part"))
-    return d.select("id", F.col("pos").cast("bigint").alias("pos"), packing.lexical_density(asked, T.word_set(F.col("part"))).alias("density")).where("density > 0.5")
+    return d.select("id", F.col("pos").cast("bigint").alias("pos"), packing.lexical_density(asked, T.word_set(F.col("part"))).alias("density"))
 
 
 COMPRESSION_SQL = r"""
@@ -107,7 +111,7 @@ WITH p AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(replace(text,
 ), x AS (SELECT id, unnest(range(len(parts))) AS pos, unnest(parts) AS part FROM p
 ), w AS (SELECT id, pos, list_distinct(regexp_extract_all(lower(part), '[a-z0-9_]+')) AS s FROM x
 ), d AS (SELECT id, pos, round(len(list_intersect(s, ['the', 'erin', 'tion', 'and', 'license'])) / sqrt(len(s) + 1), 6) AS density FROM w)
-SELECT * FROM d WHERE density > 0.5"""
+SELECT * FROM d"""
 
 
 def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:

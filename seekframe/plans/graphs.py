@@ -68,18 +68,14 @@ def pagerank_personalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(_sparse(spark, sf_dir))
+    return graph.components(part_edges(spark, sf_dir))
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of the graph, which falls into many parts."""
-    return part_edges(spark, sf_dir).where(F.pmod(F.substring("src", 3, 20).cast("bigint") + F.substring("dst", 3, 20).cast("bigint"), F.lit(10)) == 0)
-
-
-_SPARSE = "x AS (SELECT * FROM e WHERE (substr(src, 3)::BIGINT + substr(dst, 3)::BIGINT) % 10 = 0)"
+#: The least label around, twelve times over: enough for a graph whose nodes are so many steps apart at most.
 COMPONENTS_SQL = f"""
-WITH RECURSIVE {EDGES}, {_SPARSE}, y AS (SELECT src, dst FROM x UNION SELECT dst, src FROM x), r AS (SELECT src AS id, src AS label FROM y UNION SELECT y.dst, r.label FROM r JOIN y ON y.src = r.id)
-SELECT id, min(label) AS component FROM r GROUP BY 1"""
+WITH {EDGES}, l0 AS (SELECT DISTINCT src AS id, src AS component FROM u), """ + ", ".join(
+    f"""l{i} AS MATERIALIZED (SELECT src AS id, least(any_value(a.component), min(b.component)) AS component FROM u JOIN l{i - 1} a ON a.id = src JOIN l{i - 1} b ON b.id = dst GROUP BY src)""" for i in range(1, 13)
+) + " SELECT id, component FROM l12"
 
 
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,18 +136,16 @@ SELECT id FROM s UNION SELECT dst FROM u WHERE src IN (SELECT id FROM s) UNION S
 
 
 def type_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations extend regions: parents, and up to 15 children, of two nodes, at a fifth of their score."""
+    """Nations extend regions: parents and children of two nodes, at a fifth of the first hit's score."""
     nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("n:"), "n_nationkey").alias("src"), F.concat(F.lit("r:"), "n_regionkey").alias("dst"))
-    seeds = _seeds(spark, ["n:3", "r:1"])
-    up = nation.join(seeds, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id"), F.lit("parent").alias("way"))
-    down = nation.join(seeds, F.col("dst") == F.col("id"), "left_semi").select(F.col("src").alias("id"), F.lit("child").alias("way"), "dst")
-    down = down.orderBy("dst", "id").limit(15).drop("dst")
-    return up.unionByName(down).select("id", "way", F.lit(0.2).alias("score"))
+    seeds = spark.createDataFrame([("n:3", 1), ("r:1", 2)], "id string, place int")
+    return graph.expand_types(nation, seeds, 0.8)
 
 
 TYPES_SQL = """
-WITH e AS (SELECT 'n:' || n_nationkey AS src, 'r:' || n_regionkey AS dst FROM nation)
-SELECT dst AS id, 'parent' AS way, 0.2::DOUBLE AS score FROM e WHERE src IN ('n:3', 'r:1') UNION ALL (SELECT src, 'child', 0.2::DOUBLE FROM e WHERE dst IN ('n:3', 'r:1') ORDER BY dst, src LIMIT 15)"""
+WITH e AS (SELECT 'n:' || n_nationkey AS src, 'r:' || n_regionkey AS dst FROM nation), x AS (SELECT 1 AS place, 0 AS way, dst AS id FROM e WHERE src = 'n:3' UNION ALL (SELECT 2, 1, src FROM e WHERE dst = 'r:1' ORDER BY src LIMIT 15)
+), o AS (SELECT id, row_number() OVER (ORDER BY min([place, way]), id) AS rank FROM x WHERE id NOT IN ('n:3', 'r:1') GROUP BY id)
+SELECT id, 0.16::DOUBLE AS score, rank FROM o WHERE rank <= 5"""
 
 
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,34 +191,37 @@ WITH {SYMBOLS} SELECT id AS edge_id, name AS to_type_name, (SELECT min(id) FROM
 
 
 def resolve_import_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files are the paths of page urls; each page imports one by a dotted or relative name."""
-    paths = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^\w+://([^/?#]+)/(\w+)/(\d+)", 1).alias("host"), F.regexp_extract("url", r"^\w+://([^/?#]+)/(\w+)/(\d+)", 2).alias("dir"), F.regexp_extract("url", r"^\w+://([^/?#]+)/(\w+)/(\d+)", 3).alias("n")).where("n <> ''")
-    files = paths.select(F.col("page_id").alias("file_id"), F.concat_ws("/", F.regexp_replace("host", r"\.", "_"), "dir", F.concat("n", F.lit(".py"))).alias("rel_path"))
-    name = F.when(F.col("page_id") % 3 == 0, F.concat_ws(".", F.regexp_replace("host", r"\.", "_"), "dir", "n")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("./"), "dir", F.lit("/"), "n")).otherwise(F.concat(F.lit(".."), "n"))
-    return resolve.resolve_imports(paths.select(F.col("page_id").alias("import_id"), name.alias("specifier")), files)
+    """Files are the paths of page urls; each page imports the next page: by its dotted name, relative to its package, or by a relative path."""
+    url = r"^\w+://([^/?#]+)/(\w+)/(\d+)"
+    paths = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", url, 1), r"\.", "_").alias("host"), F.regexp_extract("url", url, 2).alias("dir"), F.regexp_extract("url", url, 3).alias("n")).where("n <> ''")
+    files = paths.select(F.col("page_id").alias("file_id"), F.concat_ws("/", "host", "dir", F.concat("n", F.lit(".py"))).alias("rel_path"))
+    next_ = paths.select((F.col("page_id") - 1).alias("page_id"), F.concat_ws(".", "host", "dir", "n").alias("dotted"), F.concat(F.lit(".."), F.concat_ws(".", "dir", "n")).alias("relative"), F.concat(F.lit("../"), F.concat_ws("/", "dir", "n"), F.lit(".py")).alias("path"))
+    turn = F.col("page_id") % 3
+    imports = paths.join(next_, "page_id").select(F.col("page_id").alias("import_id"), F.col("page_id").alias("file_id"), F.when(turn == 0, F.col("dotted")).when(turn == 1, F.col("relative")).otherwise(F.col("path")).alias("specifier"))
+    return resolve.resolve_imports(imports, files).select("import_id", "specifier", "target_id")
 
 
 IMPORTS_SQL = r"""
 WITH p AS (SELECT page_id, replace(regexp_extract(url, '^\w+://([^/?#]+)/(\w+)/(\d+)', 1), '.', '_') AS host, regexp_extract(url, '^\w+://([^/?#]+)/(\w+)/(\d+)', 2) AS dir, regexp_extract(url, '^\w+://([^/?#]+)/(\w+)/(\d+)', 3) AS n FROM pages
-), f AS (SELECT page_id, host || '/' || dir || '/' || n AS k3, dir || '/' || n AS k2, n AS k1 FROM p WHERE n <> ''
-), b3 AS (SELECT k3 AS k, min(page_id) AS f FROM f GROUP BY 1), b2 AS (SELECT k2 AS k, min(page_id) AS f FROM f GROUP BY 1), b1 AS (SELECT k1 AS k, min(page_id) AS f FROM f GROUP BY 1)
-SELECT page_id AS import_id, CASE page_id % 3 WHEN 0 THEN host || '.' || dir || '.' || n WHEN 1 THEN './' || dir || '/' || n ELSE '..' || n END AS specifier,
-  CASE page_id % 3 WHEN 0 THEN (SELECT f FROM b3 WHERE k = host || '/' || dir || '/' || n) WHEN 1 THEN (SELECT f FROM b2 WHERE k = dir || '/' || n) ELSE (SELECT f FROM b1 WHERE k = n) END AS file_id
-FROM p WHERE n <> ''"""
+), f AS (SELECT host || '/' || dir || '/' || n AS k, min(page_id) AS f FROM p WHERE n <> '' GROUP BY 1
+), i AS (SELECT a.page_id, a.host, b.host AS h2, b.dir AS d2, b.n AS n2 FROM p a JOIN p b ON b.page_id = a.page_id + 1 WHERE a.n <> '' AND b.n <> ''
+), t AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN h2 || '.' || d2 || '.' || n2 WHEN 1 THEN '..' || d2 || '.' || n2 ELSE '../' || d2 || '/' || n2 || '.py' END AS specifier,
+  CASE page_id % 3 WHEN 0 THEN h2 ELSE host END || '/' || d2 || '/' || n2 AS k FROM i)
+SELECT page_id AS import_id, specifier, CASE WHEN f <> page_id THEN f END AS target_id FROM t LEFT JOIN f USING (k)"""
 
 
 def selector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    decorated = part.where("p_size > 25").select(F.col("p_partkey").alias("id"), F.array(F.concat(F.lit("Component({selector: 'app-"), F.substring_index("p_name", " ", 1), F.lit("'})"))).alias("decorators"))
-    elements = part.where("p_size <= 2").select(F.col("p_partkey").alias("id"), F.concat(F.lit("app-"), F.substring_index("p_name", " ", -1)).alias("name")).unionByName(part.where("p_size = 3").select(F.col("p_partkey").alias("id"), F.concat(F.lit("app-"), F.substring_index("p_name", " ", 1)).alias("name")))
-    existing = part.where("p_size = 3 AND p_partkey % 2 = 0").select(F.col("p_partkey").alias("src")).crossJoin(F.broadcast(part.where("p_partkey < 10").select(F.col("p_partkey").alias("dst"))))
+    """Every part is a component with a selector and an element with the name of another's; some edges are there already."""
+    part = part_symbols(spark, sf_dir)
+    decorated = part.select("id", F.array(F.concat(F.lit("Component({selector: 'app-"), F.lower(F.regexp_replace("qualified_name", r"[._]", "-")), F.lit("'})"))).alias("decorators"))
+    elements = part.select((F.col("id") + 1).alias("id"), F.concat(F.lit("app-"), F.lower(F.regexp_replace("qualified_name", r"[._]", "-"))).alias("name"))
+    existing = part.where("id % 2 = 0").select((F.col("id") + 1).alias("src"), F.col("id").alias("dst"))
     return resolve.selector_edges(decorated, elements, existing)
 
 
-SELECTOR_SQL = r"""
-WITH d AS (SELECT p_partkey AS dst, 'app-' || split_part(p_name, ' ', 1) AS name FROM part WHERE p_size > 25
-), e AS (SELECT p_partkey AS src, 'app-' || split_part(p_name, ' ', -1) AS name FROM part WHERE p_size <= 2 UNION ALL SELECT p_partkey, 'app-' || split_part(p_name, ' ', 1) FROM part WHERE p_size = 3)
-SELECT DISTINCT src, dst FROM e JOIN d USING (name) WHERE NOT (dst < 10 AND src IN (SELECT p_partkey FROM part WHERE p_size = 3 AND p_partkey % 2 = 0))"""
+SELECTOR_SQL = f"""
+WITH {SYMBOLS} SELECT DISTINCT e.id + 1 AS src, d.id AS dst FROM sym e JOIN sym d ON lower(replace(replace(d.qualified_name, '.', '-'), '_', '-')) = lower(replace(replace(e.qualified_name, '.', '-'), '_', '-'))
+WHERE NOT (e.id = d.id AND e.id % 2 = 0)"""
 
 
 def artifact_linker(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,14 +244,14 @@ def ticket_linker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is a commit that touches the files of its parts and names its customer's ticket."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("id"))
     files = lines.join(_part_files(spark, sf_dir), "id").groupBy("commit_id").agg(F.collect_set("grp").alias("files"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.concat(F.lit("Fix PROJ-"), F.col("o_custkey"), F.lit(" and AB1-2, see UTF-8")).alias("message"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.concat(F.lit("Fix PROJ-"), F.col("o_custkey"), F.lit(" from feature-ENG-"), F.col("o_custkey"), F.lit("-branch, see UTF-8, SHA3-256, CVE-2021-44228, xAB-1, AB-1x")).alias("message"))
     return resolve.link_tickets(orders.join(files, "commit_id"), _part_files(spark, sf_dir))
 
 
 TICKET_SQL = """
 WITH f AS (SELECT p_partkey AS id, p_type || '/' || p_brand || '/' || p_size AS grp FROM part
 ), c AS (SELECT DISTINCT o_custkey, grp FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN f ON id = l_partkey)
-SELECT DISTINCT id AS symbol_id, unnest(['PROJ-' || o_custkey, 'AB1-2', 'UTF-8']) AS ticket FROM c JOIN f USING (grp)"""
+SELECT DISTINCT id AS symbol_id, unnest(['PROJ-' || o_custkey, 'ENG-' || o_custkey]) AS ticket FROM c JOIN f USING (grp)"""
 
 
 def suffix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,8 +276,85 @@ SCIP_SQL = f"WITH {SYMBOLS} SELECT id, substr(sha256(grp || '||' || '1.0' || '||
 
 
 def louvain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the communities found are better than each node alone, whose modularity is given."""
     edges = part_edges(spark, sf_dir)
-    return graph.modularity(edges, graph.louvain(edges, 4))
+    found = graph.modularity(edges, graph.louvain(edges, 4)).select("modularity", "isolated")
+    alone = graph.modularity(edges, graph.nodes_of(edges).select("id", F.col("id").alias("community"))).select(F.col("modularity").alias("alone"))
+    return alone.crossJoin(found).select("alone", (F.col("modularity") > F.col("alone")).alias("better"), "isolated")
+
+
+LOUVAIN_SQL = f"""
+WITH {EDGES}, d AS (SELECT src, count(*)::DOUBLE AS k FROM u GROUP BY 1), m AS (SELECT sum(k) AS m2 FROM d)
+SELECT round(-sum(pow(k / m2, 2)), 6) AS alone, true AS better, 0::BIGINT AS isolated FROM d, m"""
+
+
+def _part_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("class", "function", "method", "interface")]), (F.col("p_size") % 4 + 1).cast("int"))
+    return p.select(F.concat(F.lit("p:"), "p_partkey").alias("id"), F.concat("p_type", F.lit("/"), "p_brand").alias("grp"), kinds.alias("kind"), F.col("p_partkey").alias("line"))
+
+
+def call_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = part_edges(spark, sf_dir)
+    ranks = graph.pagerank(edges, ROUNDS, normalise=True).select("id", F.round("rank", 6).alias("rank"))
+    return graph.expand_calls(edges, _seeds(spark, SEEDS), ranks, 0.8, 1, 10)
+
+
+EXPAND_SQL = f"""
+WITH {EDGES}, s AS (SELECT col0 AS id FROM (VALUES {_SEED_SQL})), n AS (SELECT DISTINCT dst AS id FROM u WHERE src IN (SELECT id FROM s) AND dst NOT IN (SELECT id FROM s)), pr AS ({_pagerank_sql(False)}
+), o AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN (SELECT count(*) FROM n) >= 3 THEN pr.rank ELSE 0 END DESC, id) AS r FROM n JOIN pr USING (id))
+SELECT id, 1::BIGINT AS hop, 0.4::DOUBLE AS score, r AS rank FROM o WHERE r <= 10"""
+
+
+def import_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols, edges = _part_groups(spark, sf_dir), part_edges(spark, sf_dir)
+    a, b = (symbols.select(F.col("id").alias(end), F.col("grp").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
+    imports = edges.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return graph.expand_imports(imports, symbols.where(F.col("id").isin(SEEDS)).select("grp"), symbols, 0.8, most=100)
+
+
+IMPORT_EXPANSION_SQL = f"""
+WITH {EDGES}, y AS (SELECT 'p:' || p_partkey AS id, p_type || '/' || p_brand AS grp, p_partkey AS line, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS k FROM part
+), i AS (SELECT DISTINCT a.grp AS src, b.grp AS dst FROM e JOIN y a ON a.id = e.src JOIN y b ON b.id = e.dst
+), s AS (SELECT DISTINCT grp FROM y WHERE id IN (SELECT col0 FROM (VALUES {_SEED_SQL}))
+), f AS (SELECT dst AS grp FROM i WHERE src IN (SELECT grp FROM s) UNION SELECT src FROM i WHERE dst IN (SELECT grp FROM s)
+), g AS (SELECT grp FROM f WHERE grp NOT IN (SELECT grp FROM s) ORDER BY grp LIMIT (SELECT 60 - count(*) FROM s)
+), t AS (SELECT id, grp, row_number() OVER (PARTITION BY grp ORDER BY k, line, id) AS n FROM y WHERE grp IN (SELECT grp FROM g)
+), o AS (SELECT id, grp, row_number() OVER (ORDER BY grp, n) AS rank FROM t WHERE n <= 3)
+SELECT id, grp, 0.12::DOUBLE AS score, rank FROM o WHERE rank <= 100"""
+
+
+def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = graph.bfs(part_edges(spark, sf_dir), _seeds(spark, SEEDS[:1]), 1)
+    return graph.subgraph(part_edges(spark, sf_dir).distinct(), near)
+
+
+SUBGRAPH_SQL = f"""
+WITH {EDGES}, n AS (SELECT dst AS id FROM u WHERE src = '{SEEDS[0]}' UNION SELECT '{SEEDS[0]}') SELECT DISTINCT src, dst FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)"""
+
+
+def typed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = _part_groups(spark, sf_dir)
+    files = symbols.select(F.col("id").alias("src"), F.concat(F.lit("f:"), "grp").alias("dst"))
+    nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("n:"), "n_nationkey").alias("src"), F.concat(F.lit("r:"), "n_regionkey").alias("dst"))
+    tickets = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s:"), "s_suppkey").alias("src"), F.concat(F.lit("n:"), "s_nationkey").alias("dst"), F.lit("mentions").alias("kind"), F.lit(0.5).alias("weight"))
+    return graph.code_graph(part_edges(spark, sf_dir), files, nation, tickets).groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources"), F.sum("weight").alias("weight"))
+
+
+TYPED_SQL = f"""
+WITH {EDGES}, x AS (SELECT DISTINCT src, dst, 'calls' AS kind, 1::DOUBLE AS weight FROM e UNION ALL SELECT DISTINCT 'p:' || p_partkey, 'f:' || p_type || '/' || p_brand, 'imports', 1 FROM part
+  UNION ALL SELECT DISTINCT 'n:' || n_nationkey, 'r:' || n_regionkey, 'extends', 1 FROM nation UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'mentions', 0.5 FROM supplier UNION ALL SELECT 'n:' || s_nationkey, 's:' || s_suppkey, 'mentions', 0.5 FROM supplier)
+SELECT kind, count(*) AS edges, count(DISTINCT src) AS sources, sum(weight) AS weight FROM x GROUP BY 1"""
+
+
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.shortest_path(part_edges(spark, sf_dir), "p:1", "p:42").select(F.col("place").cast("long").alias("place"), "id")
+
+
+PATH_SQL = f"""
+WITH RECURSIVE {EDGES}, r AS (SELECT 'p:1' AS id, 0 AS hop UNION SELECT dst, hop + 1 FROM r JOIN u ON src = id WHERE hop < 4), h AS (SELECT id, min(hop) AS hop FROM r GROUP BY 1
+), w AS (SELECT id, hop FROM h WHERE id = 'p:42' UNION ALL SELECT (SELECT min(h.id) FROM h JOIN u ON u.src = h.id AND u.dst = w.id WHERE h.hop = w.hop - 1), hop - 1 FROM w WHERE hop > 0)
+SELECT hop::BIGINT AS place, id FROM w"""
 
 
 QUERIES = {
@@ -306,5 +380,10 @@ QUERIES = {
     "ticket_linker": (ticket_linker, TICKET_SQL),
     "suffix_lookup": (suffix_lookup, SUFFIX_SQL),
     "scip_symbol_ids": (scip_symbol_ids, SCIP_SQL),
-    "louvain_quality": (louvain_quality, None),
+    "louvain_quality": (louvain_quality, LOUVAIN_SQL),
+    "call_expansion": (call_expansion, EXPAND_SQL),
+    "import_expansion": (import_expansion, IMPORT_EXPANSION_SQL),
+    "induced_subgraph": (induced_subgraph, SUBGRAPH_SQL),
+    "typed_graph": (typed_graph, TYPED_SQL),
+    "shortest_path": (shortest_path, PATH_SQL),
 }

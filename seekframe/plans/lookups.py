@@ -56,15 +56,16 @@ SELECT CASE x WHEN 'D' THEN 'dockerfile' WHEN 'py' THEN 'python' WHEN 'JSON' THE
 
 
 def hydrated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the documents have a chunk; of the rest the body is shown, as far as the operator shows one."""
     d = table(spark, sf_dir, "documents")
-    chunks = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("symbol_id"), F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 40).alias("text"), F.col("n_chars").alias("tokens"))
+    chunks = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("symbol_id"), F.col("doc_id").alias("chunk_id"), "text", F.col("n_chars").alias("tokens"))
     symbols = d.select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("text").alias("body"))
-    return lookup.hydrate(bm25_topk(spark, sf_dir).select(F.col("id").alias("symbol_id")).distinct(), chunks, symbols, 100)
+    return lookup.hydrate(bm25_topk(spark, sf_dir).select(F.col("id").alias("symbol_id")).distinct(), chunks, symbols)
 
 
 HYDRATE_SQL = f"""
 WITH b AS ({_bm25_sql()}), i AS (SELECT DISTINCT id FROM b)
-SELECT doc_id AS symbol_id, source AS name, CASE WHEN doc_id % 3 <> 0 THEN substr(text, 1, 40) ELSE substr(text, 1, 100) END AS text, CASE WHEN doc_id % 3 <> 0 THEN n_chars ELSE 0 END::BIGINT AS tokens FROM i JOIN documents ON doc_id = i.id"""
+SELECT doc_id AS symbol_id, source AS name, CASE WHEN doc_id % 3 <> 0 THEN text ELSE substr(text, 1, 2000) END AS text, CASE WHEN doc_id % 3 <> 0 THEN n_chars ELSE 0 END::BIGINT AS tokens FROM i JOIN documents ON doc_id = i.id"""
 
 
 def community_context(spark: SparkSession, sf_dir: str) -> DataFrame:

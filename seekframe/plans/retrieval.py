@@ -101,7 +101,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).where(F.col("id") < 5).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return _vectors(spark, sf_dir).where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
 
 
 def _knn(metric: str, label: int | None = None):
@@ -114,7 +114,7 @@ def _knn(metric: str, label: int | None = None):
 
 def _knn_sql(metric: str, label: int | None = None) -> str:
     where = "true" if label is None else f"a.label = {label}"
-    pair = f"FROM embeddings a, embeddings b WHERE b.vec_id < 5 AND {where}"
+    pair = f"FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0 AND {where}"
     if metric == "cosine":
         rows = f"SELECT b.vec_id AS query_id, a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score {pair}"
         return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({rows})) WHERE rank <= 20"
@@ -156,9 +156,8 @@ def rrf_lang_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rrf_federated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every language is a repository with its own list; their lists are fused by repository weights."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
-    per = bm25_topk(spark, sf_dir).join(docs, "id")
-    legs = [(f"{lang}:bm25", per.where(F.col("lang") == lang).withColumn("rank", F.col("rank"))) for lang in ("de", "en", "es", "fr")]
-    return fusion.rrf(fusion.lists(*legs), leg_weights={"en:bm25": 2.0}, limit=10)
+    registry = spark.createDataFrame([("de", 0, 1.0), ("en", 1, 2.0), ("es", 2, 1.0), ("fr", 3, 1.0)], "alias string, list_idx bigint, weight double")
+    return fusion.federated(bm25_topk(spark, sf_dir).join(docs, "id").withColumnRenamed("lang", "alias"), registry, "bm25", limit=10)
 
 
 RRF_FEDERATED_SQL = f"""
@@ -176,16 +175,17 @@ DEDUP_SQL = f"{_HITS_SQL} SELECT query_id, id, source, score FROM (SELECT *, row
 
 
 def xtr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each label is a document, each vector of it a token; queries are five vectors of four tokens' kind."""
-    hits = search.knn(_vectors(spark, sf_dir), _asked(spark, sf_dir), 20, "cosine").join(_vectors(spark, sf_dir).select("id", F.col("label").cast("bigint").alias("label")), "id")
-    scores = hits.select((F.col("query_id") % 2).alias("query_id"), F.col("query_id").alias("token"), F.col("label").alias("id"), "score")
-    tokens = spark.createDataFrame([(i % 2, i) for i in range(5)], "query_id bigint, token bigint")
-    return fusion.xtr(scores, tokens, 0.1)
+    """Each label is a document, each vector of it a token; every twentieth vector is a token of one of two queries."""
+    asked = _asked(spark, sf_dir)
+    hits = search.knn(_vectors(spark, sf_dir), asked, 20, "cosine").join(_vectors(spark, sf_dir).select("id", F.col("label").cast("bigint").alias("label")), "id")
+    query = F.floor(F.col("query_id") / 20) % 2
+    scores = hits.select(query.alias("query_id"), F.col("query_id").alias("token"), F.col("label").alias("id"), "score")
+    return fusion.xtr(scores, asked.select(query.alias("query_id"), F.col("query_id").alias("token")), 0.1)
 
 
 XTR_SQL = f"""
-WITH h AS ({_knn_sql("cosine")}), s AS (SELECT query_id % 2 AS query_id, query_id AS token, e.label::BIGINT AS id, max(score) AS best FROM h JOIN embeddings e ON e.vec_id = h.id GROUP BY ALL
-), n AS (SELECT t % 2 AS query_id, count(*) AS tokens FROM range(5) r(t) GROUP BY 1)
+WITH h AS ({_knn_sql("cosine")}), s AS (SELECT query_id // 20 % 2 AS query_id, query_id AS token, e.label::BIGINT AS id, max(score) AS best FROM h JOIN embeddings e ON e.vec_id = h.id GROUP BY ALL
+), n AS (SELECT vec_id // 20 % 2 AS query_id, count(*) AS tokens FROM embeddings WHERE vec_id % 20 = 0 GROUP BY 1)
 SELECT s.query_id, id, round((sum(best) + (tokens - count(*)) * 0.1::DOUBLE) / tokens, 6) AS score FROM s JOIN n USING (query_id) GROUP BY s.query_id, id, tokens"""
 
 

@@ -18,9 +18,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.files(spark, f"{sf_dir}/events.parque[t]", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = watch.counts(_events(spark, sf_dir), "ts", "event_type", window="1 hour")
-    out = watch.drain(counts, f"counts_{uuid.uuid4().hex}", "complete")
+    out = watch.drain_updates(counts, _folder(spark), ["start", "event_type"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
@@ -28,13 +32,23 @@ WINDOW_SQL = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n
 
 
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = watch.debounced(_events(spark, sf_dir).select("user_id", "ts", "event_type", "event_id"), "user_id", "ts", "30 minutes")
-    return watch.drain(runs, f"runs_{uuid.uuid4().hex}", "append").select("user_id", "event_id", "event_type", "events")
+    """The last event of each run of a user's events; a run ends after half an hour without one."""
+    folder = _folder(spark)
+    events = _events(spark, sf_dir).select("user_id", "ts", "event_type", "event_id")
+    last = table(spark, sf_dir, "events").agg(F.max("ts") + F.expr("INTERVAL 1 DAY")).first()[0]
+    runs = watch.debounced(watch.closed(events, "ts", folder, last), "user_id", "ts", "30 minutes")
+    return watch.drain(runs, folder).where("user_id IS NOT NULL").select("user_id", "event_id", "event_type", "events")
+
+
+DEBOUNCE_SQL = """
+WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events
+), r AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT user_id, max_by(event_id, ts) AS event_id, max_by(event_type, ts) AS event_type, count(*) AS events FROM r GROUP BY user_id, run"""
 
 
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest event of each user, kept up to date by batches."""
-    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = _folder(spark)
     stream = _events(spark, sf_dir).select("user_id", "event_id", "event_type")
     watch.index(stream, f"{base}/table", f"{base}/checkpoint", ["user_id"], "event_id").awaitTermination()
     found = watch.generation(spark, f"{base}/table")
@@ -64,7 +78,7 @@ EVENTS_SQL = "SELECT event_id, 'k' AS name, 'constant' AS kind FROM events"
 
 QUERIES = {
     "stream_window_counts": (stream_window_counts, WINDOW_SQL),
-    "stream_debounce": (stream_debounce, None),
+    "stream_debounce": (stream_debounce, DEBOUNCE_SQL),
     "stream_index": (stream_index, INDEX_SQL),
     "parse_pages": (parse_pages, PARSE_SQL),
     "parse_events": (parse_events, EVENTS_SQL),

@@ -11,17 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A call graph: within an order each part leads to the next line's part, large quantities only."""
+    """A call graph: within an order each part leads to the next line's part."""
     line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_partkey").alias("a"), F.lead("l_partkey").over(line).alias("b"))
-    lines = lines.where(F.col("b").isNotNull() & (F.col("l_quantity") >= 48) & (F.col("a") != F.col("b")))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(line).alias("b"))
+    lines = lines.where(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     return lines.select(F.concat(F.lit("p:"), "a").alias("src"), F.concat(F.lit("p:"), "b").alias("dst"))
 
 
 EDGES = """e AS (
   SELECT 'p:' || a AS src, 'p:' || b AS dst FROM (
-    SELECT l_quantity, l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b FROM lineitem)
-  WHERE b IS NOT NULL AND l_quantity >= 48 AND a <> b
+    SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b FROM lineitem)
+  WHERE b IS NOT NULL AND a <> b
 ), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"""
 
 

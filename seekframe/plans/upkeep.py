@@ -11,6 +11,7 @@ from seekframe.plans.tables import table
 
 
 def _disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states of one corpus, which is what drift is about: here some files are gone and some changed, below some are not indexed yet."""
     d = table(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     return d.where("doc_id % 10 <> 2").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2(text, 256).alias("hash"))
@@ -47,7 +48,7 @@ SELECT *, CASE WHEN candidates > 10 AND fraction > 0.1::DOUBLE THEN 'too_many' E
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id")), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    return table(spark, sf_dir, "documents").select((2 * F.col("doc_id")).alias("id")), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
 
 
 def missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +65,7 @@ def vector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.coverage(*_ids(spark, sf_dir))
 
 
-_IDS = "c AS (SELECT doc_id AS id FROM documents WHERE doc_id % 3 <> 0), v AS (SELECT vec_id AS id FROM embeddings)"
+_IDS = "c AS (SELECT 2 * doc_id AS id FROM documents), v AS (SELECT vec_id AS id FROM embeddings)"
 
 
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +77,7 @@ UPSERT_SQL = "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_nu
 
 
 def symbol_hash_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states of one table: some rows are new, some are gone, some changed."""
     p = table(spark, sf_dir, "part")
     old = p.where("p_partkey % 7 <> 0").select("p_partkey", F.sha2(F.concat("p_name", "p_brand"), 256).alias("content"))
     new = p.where("p_partkey % 5 <> 0").select("p_partkey", F.sha2(F.concat("p_name", F.when(F.col("p_size") > 40, "x").otherwise(F.col("p_brand"))), 256).alias("content"))

@@ -123,11 +123,65 @@ def test_calls_cascade_and_strictness(spark):
     assert rows(resolve.resolve_calls(c, s, strict=True).fillna(0), "call_id", "callee_id") == [(1, 1), (2, 2), (3, 3), (4, 0), (5, 0)]
 
 
-@pytest.mark.parametrize(("specifier", "expected"), [("pkg.sub.mod", 1), ("sub.mod", 1), ("./mod", 1), ("pkg", 2), ("crate::sub::mod", 1), ("nowhere", None)])
-def test_import_resolution(spark, specifier, expected):
-    files = spark.createDataFrame([(1, "pkg/sub/mod.py"), (2, "pkg/__init__.py")], "file_id bigint, rel_path string")
-    asked = spark.createDataFrame([(9, specifier)], "import_id bigint, specifier string")
-    assert resolve.resolve_imports(asked, files).first()["file_id"] == expected
+TREE = ["pkg/sub/mod.py", "pkg/sub/__init__.py", "pkg/__init__.py", "pkg/db.py", "src/app/main.ts", "web/index.ts", "web/deep/page.ts", "web/util.ts", "core/mod.rs", "deep/er/store.go"]
+
+
+@pytest.mark.parametrize(
+    ("importer", "specifier", "expected"),
+    [
+        ("pkg/sub/mod.py", ".", "pkg/sub/__init__.py"),
+        ("pkg/sub/mod.py", "..", "pkg/__init__.py"),
+        ("pkg/sub/mod.py", "..db", "pkg/db.py"),
+        ("pkg/db.py", ".sub.mod", "pkg/sub/mod.py"),
+        ("pkg/sub/mod.py", ".db", None),
+        ("pkg/sub/mod.py", "....db", None),
+        ("web/deep/page.ts", "../util", "web/util.ts"),
+        ("web/deep/page.ts", "../util.js", "web/util.ts"),
+        ("web/deep/page.ts", "./../../web", "web/index.ts"),
+        ("web/deep/page.ts", "./missing", None),
+        ("web/util.ts", "app/main", "src/app/main.ts"),
+        ("pkg/db.py", "other.pkg.sub.mod", "pkg/sub/mod.py"),
+        ("pkg/db.py", "pkg.db", None),
+        ("pkg/db.py", "react/mod", None),
+        ("pkg/db.py", "os", None),
+        ("pkg/db.py", "crate::core", "core/mod.rs"),
+        ("pkg/db.py", "github.com/x/deep/er/store", "deep/er/store.go"),
+        ("pkg/db.py", None, None),
+    ],
+)
+def test_import_resolution(spark, importer, specifier, expected):
+    files = spark.createDataFrame([(i, p) for i, p in enumerate(TREE)], "file_id bigint, rel_path string")
+    asked = spark.createDataFrame([(9, TREE.index(importer), specifier)], "import_id bigint, file_id bigint, specifier string")
+    found = resolve.resolve_imports(asked, files).first()["target_id"]
+    assert (None if found is None else TREE[found]) == expected
+
+
+def test_tickets_have_boundaries(spark):
+    said = "Merge #1 from feature/PROJ-456-thing: UTF-8, SHA3-256, CVE-2021-44228, xAB-1, AB-1x, B-1, AB-12, v-ENG-7"
+    commits = spark.createDataFrame([(1, said, ["f"]), (2, None, ["f"])], "commit_id bigint, message string, files array<string>")
+    got = resolve.link_tickets(commits, spark.createDataFrame([(3, "f")], "id bigint, grp string"))
+    assert rows(got, "symbol_id", "ticket") == [(3, "AB-12"), (3, "ENG-7"), (3, "PROJ-456")]
+
+
+def test_expansions_and_paths(spark):
+    e = edges(spark, [("a", "b"), ("c", "a"), ("b", "d"), ("a", "e"), ("d", "z")])
+    ranks = spark.createDataFrame([("b", 0.1), ("c", 0.9), ("e", 0.5), ("d", 1.0)], "id string, rank double")
+    seed = spark.createDataFrame([("a", 1)], "id string, place int")
+    assert rows(graph.expand_calls(e, seed, ranks, 1.0, 2, 3), "rank", "id", "score") == [(1, "c", 0.5), (2, "e", 0.5), (3, "b", 0.5)]
+    assert rows(graph.expand_types(e, seed, 1.0), "rank", "id", "score") == [(1, "b", 0.2), (2, "e", 0.2), (3, "c", 0.2)]
+    symbols = spark.createDataFrame([(f"{f}{i}", f, "function", i) for f in "abcde" for i in range(5)], "id string, grp string, kind string, line int")
+    files = spark.createDataFrame([("a",)], "grp string")
+    assert rows(graph.expand_imports(e, files, symbols, 1.0, direction="forward"), "rank", "id") == [(1, "b0"), (2, "b1"), (3, "b2"), (4, "e0"), (5, "e1")]
+    assert rows(graph.shortest_path(e, "c", "z"), "place", "id") == [(0, "c"), (1, "a"), (2, "b"), (3, "d"), (4, "z")]
+    assert graph.shortest_path(e, "c", "nowhere").count() == 0
+    assert rows(graph.subgraph(e, spark.createDataFrame([("a",), ("b",), ("z",)], "id string")), "src", "dst") == [("a", "b")]
+    assert rows(graph.components(edges(spark, [("x", "x"), ("a", "b")])), "id", "component") == [("a", "a"), ("b", "a"), ("x", "x")]
+
+
+def test_pagerank_plan_does_not_grow_with_rounds(spark):
+    e = edges(spark, [("a", "hub"), ("b", "hub"), ("hub", "a")])
+    size = lambda n: len(graph.pagerank(e, n)._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert size(2) == size(9)
 
 
 def test_drift_and_prune(spark):

@@ -132,5 +132,5 @@ def test_stream_debounce(spark, tmp_path):
     at = "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s / 10.0)"
     spark.createDataFrame([("p", 0, "a"), ("p", 3, "b"), ("p", 30, "c"), ("q", 10000, "d")], "path string, s bigint, e string").withColumn("ts", F.expr(at)).drop("s").coalesce(1).write.parquet(str(tmp_path / "in"))
     schema = spark.read.parquet(str(tmp_path / "in")).schema
-    out = watch.drain(watch.debounced(watch.files(spark, str(tmp_path / "in"), schema), "path", "ts", late="1 second"), "debounced")
+    out = watch.drain(watch.debounced(watch.files(spark, str(tmp_path / "in"), schema), "path", "ts", late="1 second"), f"file://{tmp_path}/out")
     assert sorted((r["path"], r["e"], r["events"]) for r in out.collect()) == [("p", "b", 2), ("p", "c", 1)]
