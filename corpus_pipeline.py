@@ -11,8 +11,11 @@ from seekframe.llm import bpe, catalog, lang_id, mixing, near_dup, runtime, suff
 
 #: The same operators as the queries, with the same parameters.
 WEIGHTS, MOST_EPOCHS = (5, 2, 1), 3
-REPEAT_BYTES = 400
-TOKENIZER = f"{catalog.TOKENIZERS}/word_bpe_49k.json"
+#: Passages of over 50 words that stand elsewhere go.  They are found as repeated strings of so many bytes at least: words of
+#: less than four letters on average make shorter passages, which stay (on check_s 3% of those of 51 to 59 words, all
+#: of them one word over and over).
+REPEAT_BYTES, REPEAT_WORDS = catalog.PASSAGE
+TOKENIZER = catalog.TOKENIZER
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that stand elsewhere too; of a cut character nothing is left."""
-    done = suffix_dedup.remove_repeats(docs, REPEAT_BYTES, kept=True)
+    """Texts without the passages of over 50 words that stand elsewhere too; nothing else is touched."""
+    done = suffix_dedup.remove_repeats(docs, REPEAT_BYTES, words=REPEAT_WORDS)
     cut = F.col("dedup_removed") > 0
     done = done.withColumn("text", F.when(cut, F.col("dedup_text")).otherwise(F.col("text")))
     return done.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -51,13 +54,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encoded", encoded),
 ]
 
-#: No SQL expresses a trained classifier, signatures or merges: tests hold the stages against brute force.
+#: No SQL expresses a trained classifier, signatures or merges: tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on ``documents``, each one's result written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages on ``documents``, each one's result written as Parquet and read again.
+
+    What a stage has left in the shared folder is deleted once its result is written.
+    """
+    docs, begun = spark.read.parquet(f"{sf_dir}/documents.parquet"), runtime.mark()
     for name, stage in STAGES[:-1]:
         docs = runtime.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        runtime.clean(spark, begun, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
