@@ -65,11 +65,12 @@ def window_hash(prefix: np.ndarray, width: int) -> np.ndarray:
 
 def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """How many bytes the suffixes at ``a`` and ``b`` share, ``most`` at most: a binary search over hashes."""
-    low, high = np.zeros(len(a), np.int64), most.astype(np.int64).copy()
-    while True:
-        open_ = low < high
-        if not open_.any():
-            return low
+    _, down = powers(len(prefix))
+    before_a, before_b, down_a, down_b = prefix[a], prefix[b], down[a], down[b]
+    low, high = np.zeros(len(a), np.int64), most.astype(np.int64)
+    for _ in range(int(most.max(initial=0)).bit_length()):
         mid = (low + high + 1) >> 1
-        same = span_hash(prefix, a, a + mid) == span_hash(prefix, b, b + mid)
-        low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+        # spans of one length need no mixing to be told apart
+        same = (prefix[a + mid] - before_a) * down_a == (prefix[b + mid] - before_b) * down_b
+        low, high = np.where(same, mid, low), np.where(same, high, np.maximum(mid - 1, low))
+    return low
