@@ -132,6 +132,8 @@ def materialise_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most_
     """
     decided = mix(docs, weights, most_epochs, id_col=id_col, text_col=text_col, **more)
     wanted = decided.groupBy(F.col(id_col).alias("__mix_id"), F.col("text_md5").alias("__mix_md5")).agg(F.max("copies").alias("__mix_copies")).where("__mix_copies > 0")
-    keyed = docs.withColumn("__mix_own", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(wanted, F.col(id_col).eqNullSafe(F.col("__mix_id")) & (F.col("__mix_own") == F.col("__mix_md5")))
-    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # rows travel as one column, so none of theirs can be mistaken for these
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.col(id_col).alias("own_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("own_md5"))
+    joined = keyed.join(wanted, F.col("own_id").eqNullSafe(F.col("__mix_id")) & (F.col("own_md5") == F.col("__mix_md5")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

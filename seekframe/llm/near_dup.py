@@ -284,7 +284,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     wordless = ~text.rlike(r"[^\x20\x09-\x0D]")
     kept = classes(docs.where(~wordless), id_col=id_col, text_col=text_col, **more).where("keep").select(F.col("id").alias("__near_id"), F.col("node").alias("__near_node")).distinct()
-    own = docs.where(~wordless).withColumn("__near_own", F.unhex(F.md5(text)))
-    found = own.join(kept, F.col(id_col).eqNullSafe(F.col("__near_id")) & (F.col("__near_own") == F.col("__near_node")))
+    # rows travel as one column, so none of theirs can be mistaken for these
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.where(~wordless).select(row.alias("row"), F.col(id_col).alias("own_id"), F.unhex(F.md5(text)).alias("own_node"))
+    found = own.join(kept, F.col("own_id").eqNullSafe(F.col("__near_id")) & (F.col("own_node") == F.col("__near_node")))
     found = found.dropDuplicates(["__near_id", "__near_node"])
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(wordless))
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.where(wordless))
