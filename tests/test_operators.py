@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seekframe.functions import text as T
-from seekframe.operators import audit, fusion, graph, incremental, metrics, packing, resolve, routing, search, structure
+from seekframe.operators import audit, fusion, graph, incremental, legs, metrics, packing, resolve, routing, search, structure
 
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -184,6 +184,33 @@ def test_pagerank_plan_does_not_grow_with_rounds(spark):
     assert size(2) == size(9)
 
 
+def test_direct_paths_and_path_measures(spark):
+    files = spark.createDataFrame([(1, "README.md"), (2, "a/long/app.py"), (3, "app.py"), (4, "node_modules/x/package.json"), (5, "package.json"), (6, ".env"), (7, "b/app.py")], "file_id bigint, rel_path string")
+    symbols = spark.createDataFrame([(10, 1, "section", 1), (20, 2, "module", 1), (31, 3, "function", 9), (30, 3, "class", 2), (40, 4, "constant", 1), (50, 5, "constant", 1), (70, 7, "function", 1)], "id bigint, file_id bigint, kind string, line int")
+    hints = spark.createDataFrame([("APP.py",), (".env",), ("package",)], "hint string")
+    assert rows(legs.file_overview(files, symbols, hints), "file_id", "rank", "id", "score") == [(3, 1, 30, 0.999), (3, 2, 31, 0.998), (4, 1, 40, 0.999), (5, 1, 50, 0.999), (7, 1, 70, 0.999)]
+    assert rows(legs.project_overview(files, symbols), "rank", "id", "priority") == [(1, 10, 0), (2, 50, 2), (3, 20, 4)]
+    assert rows(legs.config_lookup(files, hints), "hint", "file_id") == [("package", 4), ("package", 5)]
+    found = spark.createDataFrame([(1, 1, "x/y.py"), (1, 2, "x/config.py"), (1, 3, "config.py"), (2, 1, "z.py")], "query_id bigint, rank bigint, rel_path string")
+    expected = spark.createDataFrame([(1, "config.py"), (2, "nowhere"), (3, "z")], "query_id bigint, piece string")
+    got = rows(legs.by_path(found, expected), "query_id", "place", "recall_1", "recall_5", "mrr", "ndcg")
+    assert got == [(1, 2, 0.0, 1.0, 0.5, 0.63093), (2, -1, 0.0, 0.0, 0.0, 0.0), (3, -1, 0.0, 0.0, 0.0, 0.0)]
+
+
+def test_variants_and_recorded_scores(spark):
+    asked = spark.createDataFrame([(1, "a"), (2, "b")], "query_id bigint, query string")
+    more = spark.createDataFrame([(1, 1, " c "), (1, 2, "a"), (1, 3, " "), (1, 4, "d"), (1, 5, "e")], "query_id bigint, place bigint, query string")
+    assert rows(legs.variants(asked, more, 3), "query_id", "place", "query") == [(1, 0, "a"), (1, 1, "c"), (1, 3, "d"), (2, 0, "b")]
+    hits = spark.createDataFrame([(1, 0, 7, 0.5, 1), (1, 1, 7, 0.9, 1), (1, 1, 8, 0.5, 2), (1, 0, 9, 0.5, 2)], "query_id bigint, place bigint, id bigint, score double, rank bigint")
+    assert rows(legs.merge_variants(hits, 5), "rank", "id", "score") == [(1, 7, 0.9), (2, 9, 0.5), (3, 8, 0.5)]
+    ranked = spark.createDataFrame([(1, 7, 0.9, 1), (1, 8, 0.8, 2), (1, 9, 0.7, 3), (2, 7, 0.4, 1)], "query_id bigint, id bigint, score double, rank bigint")
+    scores = spark.createDataFrame([(1, 9, 5.0), (1, 7, 1.0), (1, 99, 9.0)], "query_id bigint, id bigint, score double")
+    assert rows(legs.rerank(ranked, scores, 3), "query_id", "rank", "id", "outcome") == [(1, 1, 9, "reranked"), (1, 2, 7, "reranked"), (1, 3, 8, "reranked"), (2, 1, 7, "kept")]
+    calls = spark.createDataFrame([(1, "r", "f"), (2, "r", "g"), (3, "s", "f")], "call_id bigint, repo string, name string")
+    symbols = spark.createDataFrame([(5, "r", "f"), (6, "s", "f"), (7, "s", "g"), (8, "t", "g")], "id bigint, repo string, name string")
+    assert rows(legs.cross_repository(calls, symbols), "call_id", "repo", "id") == [(1, "s", 6), (3, "r", 5)]
+
+
 def test_drift_and_prune(spark):
     disk = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "4")], "path string, hash string")
     index = spark.createDataFrame([("a", "1"), ("b", "x"), ("c", "3")], "path string, hash string")
