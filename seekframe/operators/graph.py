@@ -261,6 +261,55 @@ def frontier(edges: DataFrame, seeds: DataFrame, communities: DataFrame) -> Data
     return seeds.select("id").unionByName(near).unionByName(same).distinct()
 
 
+def update_communities(edges: DataFrame, seeds: DataFrame, communities: DataFrame, rounds: int = 5, most: float = 0.5) -> DataFrame:
+    """id, community after the seeds (id) changed: labels spread anew within their frontier, all other nodes keep theirs.
+
+    Nodes without a community yet start as their own.  A frontier of more than ``most`` of all nodes is no saving: then all labels
+    spread anew.
+    """
+    nodes = step(nodes_of(edges), "update-nodes")
+    known = nodes.join(communities.select("id", "community"), "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    touched = step(frontier(edges, seeds, known).join(nodes, "id", "left_semi").distinct(), "update-frontier")
+    if touched.count() > most * nodes.count():
+        discard(nodes, touched)
+        return label_propagation(edges, rounds)
+    marked = known.join(touched.select("id", F.lit(True).alias("free")), "id", "left").select("id", F.when(F.col("free"), F.col("id")).otherwise(F.col("community")).alias("community"), F.coalesce("free", F.lit(False)).alias("free"))
+    labels = written = step(marked, "update")
+    pairs = step(both_ways(edges).join(touched.select(F.col("id").alias("src")), "src", "left_semi"), "update-edges")
+    order = Window.partitionBy("src").orderBy(F.col("votes").desc(), "community")
+    for _ in range(rounds):
+        votes = pairs.join(labels, F.col("dst") == F.col("id")).groupBy("src", "community").agg(F.count(F.lit(1)).alias("votes"))
+        best = votes.withColumn("n", F.row_number().over(order)).where("n = 1").select(F.col("src").alias("id"), F.col("community").alias("next"))
+        labels = step(labels.join(best, "id", "left").select("id", F.coalesce("next", "community").alias("community"), "free"), "update")
+        discard(written)
+        written = labels
+    discard(nodes, touched, pairs)
+    return labels.select("id", "community")
+
+
+def largest_communities(communities: DataFrame, most: int = 5) -> DataFrame:
+    """place, community, size, share of all nodes of the largest communities, ties to the smaller name."""
+    sizes = communities.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    total = communities.agg(F.count(F.lit(1)).alias("all"))  # one row
+    first = sizes.orderBy(F.col("size").desc(), "community").limit(most)
+    placed = first.withColumn("place", F.row_number().over(Window.orderBy(F.col("size").desc(), "community")).cast("long"))
+    return placed.crossJoin(F.broadcast(total)).select("place", "community", "size", F.round(F.col("size") / F.col("all"), 6).alias("share"))
+
+
+def drawn(edges: DataFrame, communities: DataFrame, most: int = 500, colours: int = 10) -> DataFrame:
+    """id, community, degree, size, colour of what a picture shows: the ``most`` nodes with the most edges, sized by the edges among them.
+
+    ``communities``: id, community (a number, 0 if null or missing).
+    """
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
+    first = step(ends.groupBy("id").agg(F.count(F.lit(1)).alias("all")).orderBy(F.col("all").desc(), "id").limit(most).select("id"), "drawn")
+    inside = subgraph(edges, first)
+    degree = inside.select(F.col("src").alias("id")).unionByName(inside.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    rows = first.join(degree, "id", "left").join(communities.select("id", "community"), "id", "left")
+    n, community = F.coalesce("degree", F.lit(0)).cast("long"), F.coalesce("community", F.lit(0)).cast("long")
+    return rows.select("id", community.alias("community"), n.alias("degree"), F.least(F.lit(50), 10 + n * 3).cast("long").alias("size"), F.pmod(community, F.lit(colours)).cast("long").alias("colour"))
+
+
 def callers_callees(edges: DataFrame, node: DataFrame) -> DataFrame:
     """id, direction for everything one step from ``node`` (id)."""
     up = edges.join(node, F.col("dst") == F.col("id"), "left_semi").select(F.col("src").alias("id"), F.lit("caller").alias("direction"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekframe.plans import assembly, graphs, legs, lookups, retrieval, streams, upkeep
+from seekframe.plans import assembly, context, graphs, legs, lookups, retrieval, streams, upkeep
 
 hybrid_search = retrieval.hybrid_search
-_ALL = {**retrieval.QUERIES, **graphs.QUERIES, **upkeep.QUERIES, **assembly.QUERIES, **lookups.QUERIES, **legs.QUERIES, **streams.QUERIES}
+_ALL = {**retrieval.QUERIES, **graphs.QUERIES, **upkeep.QUERIES, **assembly.QUERIES, **lookups.QUERIES, **legs.QUERIES, **context.QUERIES, **streams.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

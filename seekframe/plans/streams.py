@@ -58,6 +58,20 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 INDEX_SQL = "SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY 1"
 
 
+SUBSCRIBED = [("click", "ann"), ("purchase", "ann"), ("purchase", "bo"), ("purchase", "bo"), ("none", "cy")]
+
+
+def stream_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event is a change of the repository its type names, told to all who follow that."""
+    folder = _folder(spark)
+    changes = _events(spark, sf_dir).select(F.col("event_type").alias("repo"), "event_id")
+    return watch.drain(watch.notified(changes, spark.createDataFrame(SUBSCRIBED, "repo string, subscriber string")), folder)
+
+
+SUBSCRIBED_SQL = f"""
+SELECT DISTINCT event_type AS repo, event_id, subscriber FROM events JOIN (VALUES {", ".join(str(s) for s in SUBSCRIBED)}) s(repo, subscriber) ON event_type = repo"""
+
+
 def parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("rel_path"), F.lit("html").alias("language"), F.col("html").alias("text"))
     parsed = parsers.parse(files)
@@ -80,6 +94,7 @@ QUERIES = {
     "stream_window_counts": (stream_window_counts, WINDOW_SQL),
     "stream_debounce": (stream_debounce, DEBOUNCE_SQL),
     "stream_index": (stream_index, INDEX_SQL),
+    "stream_subscriptions": (stream_subscriptions, SUBSCRIBED_SQL),
     "parse_pages": (parse_pages, PARSE_SQL),
     "parse_events": (parse_events, EVENTS_SQL),
 }

@@ -31,6 +31,11 @@ def unchanged_dropped(files_: DataFrame, ts: str, late: str = "10 minutes") -> D
     return files_.withWatermark(ts, late).dropDuplicatesWithinWatermark(["path", "hash"])
 
 
+def notified(changes: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """One row for each change (repo, ...) and each subscriber (repo, subscriber) of its repository; ``changes`` may be a stream."""
+    return changes.join(subscriptions.select("repo", "subscriber").distinct(), "repo")
+
+
 def counts(events: DataFrame, ts: str, *by: str, window: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
     """Events of each kind in each window, late ones within the watermark counted."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *by, "n")
