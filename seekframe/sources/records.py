@@ -50,6 +50,23 @@ def golden_set(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("query_id", "r.query", "r.relevant_files")
 
 
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """alias, path, weight (1 if none is told) of the repositories that a registry file lists; empty if there is no file or it is damaged.
+
+    An alias that stands twice is an error.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    schema = "repos array<struct<alias:string,path:string,weight:double>>"
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], "alias string, path string, weight double")
+    rows = spark.read.option("multiLine", "true").schema(schema).json(path).select(F.inline("repos"))
+    rows = rows.where("alias IS NOT NULL AND path IS NOT NULL").select("alias", "path", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    twice = rows.groupBy("alias").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"alias {twice['alias']!r} is registered twice")
+    return rows
+
+
 def replay_plans(queries: DataFrame, frozen: DataFrame) -> DataFrame:
     """Each query with its recorded plan; a query without one is an error."""
     key = lambda c: F.lower(F.trim(c))

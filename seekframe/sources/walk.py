@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import fnmatch
+import json
 import os
-from pathlib import PurePosixPath
+import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ EXTENSIONS = {
 NAMES = {"dockerfile": "dockerfile", "containerfile": "dockerfile", "makefile": "make", "gnumakefile": "make"}
 IGNORED_DIRS = {".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache", "target"}
 LARGEST = 500_000
+# Folders that hold a repository's own code only where something beside them says so; files that say so; files that deny it.
+CONDITIONAL_DIRS = ["packages", "bin"]
+WORKSPACE_FILES = ["pnpm-workspace.yaml", "pnpm-workspace.yml", "lerna.json", "nx.json", "rush.json"]
+DOTNET_FILES = ["directory.build.props", "directory.build.targets", "directory.packages.props", "packages.config", "packages.lock.json", "nuget.config"]
+DOTNET_EXTENSIONS = ["sln", "slnx", "slnf", "csproj", "fsproj", "vbproj", "vcxproj"]
 
 
 def language(path: Column) -> Column:
@@ -32,24 +38,66 @@ def language(path: Column) -> Column:
     return F.coalesce(F.element_at(table(NAMES), name), F.element_at(table(NAMES), stem), F.element_at(table(EXTENSIONS), extension), F.lit("unknown"))
 
 
+def pattern_regex(pattern: str) -> re.Pattern[str]:
+    """A pattern of an ignore file for paths relative to its folder: ``*`` and ``?`` stay within a name, ``**`` spans folders."""
+    anchored = "/" in pattern.strip().rstrip("/")
+    body = pattern.rstrip("/").removeprefix("/")
+    out = "" if anchored else "(?:.*/)?"
+    for piece in re.split(r"((?:(?<=/)|^)\*\*/|/\*\*$|\*+|\?|\[!?\]?[^\]]*\]|\\.)", body):
+        if piece == "**/":
+            out += "(?:[^/]+/)*"
+        elif piece == "/**":
+            out += "/.+"
+        elif piece.startswith("*"):
+            out += "[^/]*"
+        elif piece == "?":
+            out += "[^/]"
+        elif piece.startswith("[") and piece.endswith("]") and len(piece) > 2:
+            out += "(?!/)[" + piece[1:-1].replace("\\", "\\\\").replace("!", "^", 1 if piece[1] == "!" else 0) + "]"
+        elif piece.startswith("\\") and len(piece) == 2:
+            out += re.escape(piece[1])
+        else:
+            out += re.escape(piece)
+    return re.compile(out)
+
+
 class Ignore:
     """The patterns of one folder's ignore file; a later one overrules an earlier, ``!`` takes back."""
 
     def __init__(self, lines: list[str]):
-        self.rules = [(x.startswith("!"), x.lstrip("!").rstrip()) for x in lines if x.strip() and not x.startswith("#")]
+        wanted = [re.sub(r"(?<!\\)\s+$", "", x) for x in lines]
+        self.rules = [(x.startswith("!"), x.endswith("/"), pattern_regex(x.removeprefix("!"))) for x in wanted if x and not x.startswith("#")]
 
     def verdict(self, rel: str, is_dir: bool) -> bool | None:
         out = None
-        for back, pattern in self.rules:
-            if pattern.endswith("/") and not is_dir:
-                continue
-            p = pattern.strip("/")
-            anchored = "/" in pattern.strip("/") or pattern.startswith("/")
-            if fnmatch.fnmatch(rel, p) or not anchored and fnmatch.fnmatch(PurePosixPath(rel).name, p):
+        for back, only_dirs, regex in self.rules:
+            if (is_dir or not only_dirs) and regex.fullmatch(rel):
                 out = not back
         return out
 
 
+def own_folders(folder: str, names: Sequence[str]) -> set[str]:
+    """The conditional folders among ``names``, all entries of ``folder``, that are shown to hold the repository's own code.
+
+    ``packages`` needs a workspace file or the key ``workspaces`` of package.json, ``bin`` a target of its key ``bin`` inside it.
+    Beside a .NET project neither is: there they hold what a build made.  Without proof a folder stays ignored.
+    """
+    lower = {n.lower() for n in names}
+    asked = {n for n in names if n.lower() in CONDITIONAL_DIRS and os.path.isdir(os.path.join(folder, n))}
+    if not asked or lower & set(DOTNET_FILES) or any(n.rpartition(".")[2] in DOTNET_EXTENSIONS for n in lower if "." in n):
+        return set()
+    try:
+        with open(os.path.join(folder, "package.json"), encoding="utf-8", errors="ignore") as f:
+            manifest = json.load(f)
+    except (OSError, ValueError):
+        manifest = None
+    manifest = manifest if isinstance(manifest, dict) else {}
+    declared = manifest.get("bin")
+    targets = [t.removeprefix("./").lower() for t in (declared.values() if isinstance(declared, dict) else [declared]) if isinstance(t, str)]
+    workspace = "workspaces" in manifest or bool(set(names) & set(WORKSPACE_FILES))
+    return {n for n in asked if (workspace if n.lower() == "packages" else any(t.startswith(n.lower() + "/") and len(t) > len(n) + 1 for t in targets))}
+
+
 def listing(root: str) -> list[str]:
     """Relative paths of a local repository in sorted order; no link leads out of it or round in a circle."""
     real_root = os.path.realpath(root)
@@ -63,14 +111,16 @@ def listing(root: str) -> list[str]:
         if os.path.isfile(ignore):
             with open(ignore, encoding="utf-8", errors="replace") as f:
                 chain = [*chain, (folder, Ignore(f.read().splitlines()))]
-        for name in sorted(os.listdir(folder)):
+        names = sorted(os.listdir(folder))
+        own = own_folders(folder, names)
+        for name in names:
             path = os.path.join(folder, name)
             is_dir = os.path.isdir(path)
             verdict = None
             for base, rules in chain:
                 v = rules.verdict(os.path.relpath(path, base).replace(os.sep, "/"), is_dir)
                 verdict = v if v is not None else verdict
-            if verdict or is_dir and name in IGNORED_DIRS:
+            if verdict or is_dir and (name in IGNORED_DIRS or name.lower() in CONDITIONAL_DIRS and name not in own):
                 continue
             if is_dir:
                 visit(path, chain, (*above, real))
@@ -84,11 +134,11 @@ def listing(root: str) -> list[str]:
 def repository(spark: SparkSession, root: str) -> DataFrame:
     """rel_path, language, hash, size, text of the files worth indexing below ``root``.
 
-    The listing is a driver's job, as ignore files nest; bytes are read and hashed by tasks.
+    The listing is a driver's job, as ignore files nest; bytes are read and hashed by tasks, those of the files listed only.
     """
-    wanted = spark.createDataFrame([(p,) for p in listing(root)], "rel_path string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    wanted = [os.path.join(os.path.realpath(root), re.sub(r"([\\\[\]{}*?,])", r"\\\1", p)) for p in listing(root)]
+    files = spark.read.format("binaryFile").load(wanted) if wanted else spark.createDataFrame([], schema)
     prefix = os.path.realpath(root).rstrip("/") + "/"
-    files = files.select(F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + prefix.replace(".", r"\."), "").alias("rel_path"), F.col("length").alias("size"), "content")
-    kept = files.where(F.col("size") <= LARGEST).join(F.broadcast(wanted) if wanted.count() < 1_000_000 else wanted, "rel_path", "left_semi")
-    return kept.select("rel_path", language(F.col("rel_path")).alias("language"), F.sha2("content", 256).alias("hash"), "size", F.decode("content", "UTF-8").alias("text")).where("language <> 'unknown'")
+    files = files.select(F.substring(F.regexp_replace("path", r"^file:/+", "/"), len(prefix) + 1, 1 << 20).alias("rel_path"), F.col("length").alias("size"), "content").where(F.col("size") <= LARGEST)
+    return files.select("rel_path", language(F.col("rel_path")).alias("language"), F.sha2("content", 256).alias("hash"), "size", F.decode("content", "UTF-8").alias("text")).where("language <> 'unknown'")

@@ -134,3 +134,48 @@ def test_stream_debounce(spark, tmp_path):
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     out = watch.drain(watch.debounced(watch.files(spark, str(tmp_path / "in"), schema), "path", "ts", late="1 second"), f"file://{tmp_path}/out")
     assert sorted((r["path"], r["e"], r["events"]) for r in out.collect()) == [("p", "b", 2), ("p", "c", 1)]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "hits", "misses"),
+    [
+        ("*.log", ["a.log", "x/a.log"], ["a.log.txt"]),
+        ("/a/*.py", ["a/b.py"], ["a/b/c.py", "x/a/b.py"]),
+        ("**/tmp", ["tmp", "a/b/tmp"], ["tmpx"]),
+        ("a/**/b", ["a/b", "a/x/y/b"], ["ab", "x/a/b"]),
+        ("out/**", ["out/x", "out/x/y"], ["out"]),
+        ("doc/", ["doc", "x/doc"], ["docs"]),
+        ("f?[!a-c].txt", ["fxd.txt"], ["fxa.txt", "f/d.txt"]),
+        (r"\#x", ["#x"], ["x"]),
+    ],
+)
+def test_ignore_patterns(pattern, hits, misses):
+    regex = walk.pattern_regex(pattern)
+    assert all(regex.fullmatch(h) for h in hits) and not any(regex.fullmatch(m) for m in misses)
+
+
+def test_conditional_folders_and_odd_names(spark, tmp_path):
+    for name in ("packages/a.py", "bin/b.py", "js/packages/c.py", "js/bin/d.py", "js/bin2/e[1] {x}+%20.py", "net/packages/f.py", "node_modules/g.py"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x = 1\n")
+    (tmp_path / "js/package.json").write_text(json.dumps({"workspaces": [], "bin": {"t": "./bin/d.py"}}))
+    (tmp_path / "net/lerna.json").write_text("{}")
+    (tmp_path / "net/A.csproj").write_text("<x/>")
+    found = ["js/bin/d.py", "js/bin2/e[1] {x}+%20.py", "js/package.json", "js/packages/c.py", "net/A.csproj", "net/lerna.json"]
+    assert walk.listing(str(tmp_path)) == found
+    assert sorted(r["rel_path"] for r in walk.repository(spark, str(tmp_path)).collect()) == found
+    (tmp_path / "none").mkdir()
+    assert walk.repository(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_registry(spark, tmp_path):
+    path = tmp_path / "repos.json"
+    assert records.registry(spark, str(path)).count() == 0
+    path.write_text(json.dumps({"repos": [{"alias": "a", "path": "/a"}, {"alias": "b", "path": "/b", "weight": 0.5}]}))
+    assert sorted((r["alias"], r["weight"]) for r in records.registry(spark, str(path)).collect()) == [("a", 1.0), ("b", 0.5)]
+    path.write_text("not json")
+    assert records.registry(spark, str(path)).count() == 0
+    path.write_text(json.dumps({"repos": [{"alias": "a", "path": "/a"}] * 2}))
+    with pytest.raises(ValueError, match="twice"):
+        records.registry(spark, str(path))
