@@ -68,14 +68,14 @@ SELECT id, grp, 0.3::DOUBLE AS score, rank FROM o WHERE rank <= 30"""
 
 
 def file_summary_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector is a file's summary; its text is the document of that id, its symbols are two."""
+    """Each vector is a file's summary; its text is the document of that id, if there is one, its symbols are two."""
     vectors = _vectors(spark, sf_dir).select(F.col("id").alias("file_id"), "v")
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
     symbols = vectors.select((F.col("file_id") * 2 + 1).alias("id"), "file_id", F.lit(9).alias("line")).unionByName(vectors.select((F.col("file_id") * 2).alias("id"), "file_id", (F.col("file_id") % 20).cast("int").alias("line")))
-    return legs.file_summaries(vectors.join(texts, "file_id"), symbols, _asked(spark, sf_dir), 20)
+    return legs.file_summaries(vectors.join(texts, "file_id", "left"), symbols, _asked(spark, sf_dir), 20)
 
 
-SUMMARY_LEG_SQL = f"SELECT query_id, id AS file_id, CASE WHEN id % 20 <= 9 THEN id * 2 ELSE id * 2 + 1 END AS id, score, rank FROM ({_knn_sql('l2_inverse')})"
+SUMMARY_LEG_SQL = f"SELECT query_id, id AS file_id, CASE WHEN id % 20 <= 9 THEN id * 2 ELSE id * 2 + 1 END AS id, score, rank FROM ({_knn_sql('l2_inverse')}) WHERE id IN (SELECT doc_id FROM documents WHERE text <> '')"
 
 
 def sub_chunk_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
