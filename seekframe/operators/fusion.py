@@ -77,12 +77,15 @@ def breadth_floor(hits: DataFrame, fallback: DataFrame, group: str, least_groups
 def xtr(scores: DataFrame, query_tokens: DataFrame, impute: float) -> DataFrame:
     """Per document the mean over query tokens of its best score for the token, ``impute`` where it has none.
 
-    ``scores``: query_id, token, id, score.  ``query_tokens``: query_id, token.
+    ``scores``: query_id, token, id, score.  ``query_tokens``: query_id, token.  Scores are added as decimals of twelve places,
+    so the order of addition, which differs from run to run, shows in no digit.
     """
     n = query_tokens.groupBy("query_id").agg(F.count(F.lit(1)).alias("tokens"))
     best = scores.groupBy("query_id", "id", "token").agg(F.max("score").alias("best"))
-    found = best.groupBy("query_id", "id").agg(F.sum("best").alias("total"), F.count(F.lit(1)).alias("met"))
-    return found.join(n, "query_id").select("query_id", "id", F.round((F.col("total") + (F.col("tokens") - F.col("met")) * impute) / F.col("tokens"), 6).alias("score"))
+    found = best.groupBy("query_id", "id").agg(F.sum(F.col("best").cast("decimal(24,12)")).alias("total"), F.count(F.lit(1)).alias("met"))
+    missing = (F.col("tokens") - F.col("met")).cast("decimal(12,0)") * F.lit(impute).cast("decimal(24,12)")
+    mean = (F.col("total") + missing) / F.col("tokens").cast("decimal(12,0)")
+    return found.join(n, "query_id").select("query_id", "id", F.round(mean, 6).cast("double").alias("score"))
 
 
 def page(ranked: DataFrame, cursor: int, size: int) -> DataFrame:
