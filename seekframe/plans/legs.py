@@ -117,9 +117,10 @@ def rerank_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RERANK_SQL = f"""
-WITH b AS ({_bm25_sql()}), r AS (SELECT query_id, id, b.score, b.rank AS was, CASE WHEN n_chars % 3 <> 0 THEN round(1000::DOUBLE / (n_chars + 1), 6) END AS again FROM b JOIN documents ON doc_id = id
-), s AS (SELECT query_id, id, CASE WHEN query_id = 3 THEN score ELSE again END AS score, CASE WHEN query_id = 3 THEN 'kept' ELSE 'reranked' END AS outcome,
-  row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id = 3 THEN NULL ELSE again END DESC NULLS LAST, was, id) AS rank FROM r)
+WITH b AS ({_bm25_sql()}), r AS (SELECT query_id, id, b.score, b.rank AS was, CASE WHEN query_id <> 3 AND n_chars % 3 <> 0 THEN round(1000::DOUBLE / (n_chars + 1), 6) END AS again FROM b JOIN documents ON doc_id = id
+), h AS (SELECT *, count(again) OVER (PARTITION BY query_id) > 0 AS has FROM r
+), s AS (SELECT query_id, id, CASE WHEN has THEN again ELSE score END AS score, CASE WHEN has THEN 'reranked' ELSE 'kept' END AS outcome,
+  row_number() OVER (PARTITION BY query_id ORDER BY again DESC NULLS LAST, was, id) AS rank FROM h)
 SELECT query_id, id, score, rank, outcome FROM s WHERE rank <= 15"""
 
 
