@@ -130,15 +130,37 @@ NOT_TICKETS = "UTF SHA MD HTTP HTTPS BASE ISO RFC AES RSA SSL TLS IPV CRC HMAC P
 TICKET = r"(?<![A-Za-z0-9])(?!(?:" + "|".join(NOT_TICKETS) + r")[0-9]*-\d)[A-Z][A-Z0-9]{1,9}-\d+(?![A-Za-z0-9])"
 
 
+# Fixed value: the rows of one file are dealt out over so many groups, so a file that most tickets touch is no single task.
+SPREAD = 8
+
+
 def link_tickets(commits: DataFrame, symbols: DataFrame, pattern: str = TICKET) -> DataFrame:
     """symbol_id, ticket for the symbols of files that a commit naming the ticket touched.
 
-    ``commits``: commit_id, message, files (array).  ``symbols``: id, grp (file).  Files and tickets
-    are paired once before symbols are looked up.
+    ``commits``: commit_id, message, files (array).  ``symbols``: id, grp (file).  Files and tickets are
+    paired once before symbols are looked up.  The result, far larger than its inputs, is never sorted out:
+    each symbol belongs to one file or one set of files, and each of these meets a ticket once.
     """
-    tickets = commits.select("commit_id", "files", F.explode(F.array_distinct(F.regexp_extract_all("message", F.lit(pattern), F.lit(0)))).alias("ticket"))
-    touched = tickets.select("ticket", F.explode("files").alias("grp")).distinct()
-    return touched.join(symbols, "grp").select(F.col("id").alias("symbol_id"), "ticket").distinct()
+    tickets = commits.select("files", F.array_distinct(F.regexp_extract_all("message", F.lit(pattern), F.lit(0))).alias("tickets")).where("size(tickets) > 0")
+    touched = tickets.select("tickets", F.explode("files").alias("grp")).select("grp", F.explode("tickets").alias("ticket"))
+    touched = _met_once(touched, "grp")
+    # symbols of several files, if any, go by their set of files
+    places = symbols.where("grp IS NOT NULL").groupBy("id").agg(F.sort_array(F.collect_set("grp")).alias("places"))
+    one = places.where("size(places) = 1").select(F.col("id").alias("symbol_id"), F.col("places")[0].alias("grp"))
+    more = places.where("size(places) > 1")
+    sets = more.select("places").distinct().select("places", F.explode("places").alias("grp"))
+    touched_sets = _met_once(touched.join(_spread(sets), ["grp", "part"]).select("places", "ticket"), "places")
+    found = touched.join(_spread(one), ["grp", "part"]).select("symbol_id", "ticket")
+    return found.unionByName(touched_sets.join(_spread(more), ["places", "part"]).select(F.col("id").alias("symbol_id"), "ticket"))
+
+
+def _met_once(touched: DataFrame, by: str) -> DataFrame:
+    """Distinct ``by``, ticket with their part of ``by``: dealt out once, for these and for the join by ``by`` and part."""
+    return touched.withColumn("part", F.pmod(F.hash("ticket"), F.lit(SPREAD))).repartition(by, "part").distinct()
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
 
 
 def suffix_lookup(files: DataFrame, suffixes: DataFrame) -> DataFrame:

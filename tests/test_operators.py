@@ -163,6 +163,28 @@ def test_tickets_have_boundaries(spark):
     assert rows(got, "symbol_id", "ticket") == [(3, "AB-12"), (3, "ENG-7"), (3, "PROJ-456")]
 
 
+def test_tickets_of_symbols_in_several_files(spark):
+    commits = spark.createDataFrame([(1, "AB-1 CD-2 AB-1", ["f", "g", None]), (2, "AB-1", ["g", "x"]), (3, "EF-3", ["h"]), (4, "none", ["f"]), (5, "GH-4", None)], "commit_id bigint, message string, files array<string>")
+    symbols = spark.createDataFrame([(1, "f"), (1, "f"), (2, "g"), (2, "f"), (3, "h"), (3, "g"), (4, "h"), (5, None), (None, "h"), (6, "z")], "id bigint, grp string")
+    got = [tuple(r) for r in resolve.link_tickets(commits, symbols).collect()]
+    assert sorted(got, key=str) == sorted([(1, "AB-1"), (1, "CD-2"), (2, "AB-1"), (2, "CD-2"), (3, "AB-1"), (3, "CD-2"), (3, "EF-3"), (4, "EF-3"), (None, "EF-3")], key=str)
+
+
+def test_tickets_are_not_dealt_out_again_with_their_symbols(spark):
+    """The result of 500 tickets and 800 symbols in each of two files; what is shuffled is some multiple of tickets and symbols."""
+    commits = spark.range(500).selectExpr("id AS commit_id", "concat('AB-', id) AS message", "array('f', 'g') AS files")
+    symbols = spark.range(1600).selectExpr("id", "IF(id < 800, 'f', 'g') AS grp").repartition(4)
+
+    def shuffled() -> int:
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    assert len(resolve.link_tickets(commits, symbols).collect()) == 800_000
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert 0 < shuffled() - before < 50_000
+
+
 def test_expansions_and_paths(spark):
     e = edges(spark, [("a", "b"), ("c", "a"), ("b", "d"), ("a", "e"), ("d", "z")])
     ranks = spark.createDataFrame([("b", 0.1), ("c", 0.9), ("e", 0.5), ("d", 1.0)], "id string, rank double")
