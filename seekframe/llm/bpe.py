@@ -28,6 +28,8 @@ from seekframe.llm.runtime import text_batches, tidy
 
 #: Chunks between blanks, and words, whose ids are remembered at least; twice as many at most.
 REMEMBERED_CHUNKS, REMEMBERED_WORDS = 80_000, 160_000
+#: Characters up to which one is remembered: longer ones hardly come again, and thousands of them would fill a worker.
+REMEMBERED_LENGTH = 100
 #: Symbols up to which the best pair is looked for in a list, not a heap.
 SHORT = 24
 
@@ -50,6 +52,8 @@ class _Memory(dict):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        if len(key) > REMEMBERED_LENGTH:
+            return self.make(key)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -59,6 +63,10 @@ class _Memory(dict):
         self[key] = out
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class WordBpe:
     """A tokenizer file of kind BPE with byte letters and an end-of-word suffix."""
@@ -81,6 +89,11 @@ class WordBpe:
         self._memory = _Memory(self._chunk, REMEMBERED_CHUNKS)
         self._words = _Memory(self._word, REMEMBERED_WORDS)
 
+    def forget(self) -> None:
+        """Drops what is remembered of texts; the vocabulary stays."""
+        self._memory.forget()
+        self._words.forget()
+
     def _joined_pairs(self) -> dict[str, int]:
         """All pairs of letters that stand side by side inside some token, with the rank of their own merge, if there is one."""
         out = {}
@@ -254,5 +267,6 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
                     columns.append(pa.array(texts, pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.forget()  # workers are reused, by other operators too
 
     return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)

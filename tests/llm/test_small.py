@@ -779,6 +779,19 @@ def test_templates_equal_brute_force(spark):
 # ---- 9 BPE
 
 
+def test_bpe_workers_keep_no_texts(spark, monkeypatch):
+    """Long chunks are not remembered, and after a partition nothing is."""
+    caught = []
+    monkeypatch.setattr(bpe, "tidy", lambda run: caught.append(run) or run)
+    bpe.encode_documents(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), TOKENIZER)
+    b = bpe.tokenizer(TOKENIZER)
+    long = "x1" * 5000
+    assert b.encode(f"{long} word {long}") == [*b.encode(long), *b.encode("word"), *b.encode(long)]
+    assert max(map(len, [*b._memory, *b._words])) <= 100
+    assert list(caught[0](iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["two words"])], ["doc_id", "text"])])))
+    assert not b._memory and not b._words
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
