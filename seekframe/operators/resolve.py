@@ -140,6 +140,7 @@ def link_tickets(commits: DataFrame, symbols: DataFrame, pattern: str = TICKET)
     ``commits``: commit_id, message, files (array).  ``symbols``: id, grp (file).  Files and tickets are
     paired once before symbols are looked up.  The result, far larger than its inputs, is never sorted out:
     each symbol belongs to one file or one set of files, and each of these meets a ticket once.
+    No side is broadcast, whatever its files' sizes promise: all of them grow with the input, and spread symbols more so.
     """
     tickets = commits.select("files", F.array_distinct(F.regexp_extract_all("message", F.lit(pattern), F.lit(0))).alias("tickets")).where("size(tickets) > 0")
     touched = tickets.select("tickets", F.explode("files").alias("grp")).select("grp", F.explode("tickets").alias("ticket"))
@@ -149,9 +150,9 @@ def link_tickets(commits: DataFrame, symbols: DataFrame, pattern: str = TICKET)
     one = places.where("size(places) = 1").select(F.col("id").alias("symbol_id"), F.col("places")[0].alias("grp"))
     more = places.where("size(places) > 1")
     sets = more.select("places").distinct().select("places", F.explode("places").alias("grp"))
-    touched_sets = _met_once(touched.join(_spread(sets), ["grp", "part"]).select("places", "ticket"), "places")
-    found = touched.join(_spread(one), ["grp", "part"]).select("symbol_id", "ticket")
-    return found.unionByName(touched_sets.join(_spread(more), ["places", "part"]).select(F.col("id").alias("symbol_id"), "ticket"))
+    touched_sets = _met_once(touched.join(_spread(sets).hint("merge"), ["grp", "part"]).select("places", "ticket"), "places")
+    found = touched.join(_spread(one).hint("merge"), ["grp", "part"]).select("symbol_id", "ticket")
+    return found.unionByName(touched_sets.join(_spread(more).hint("merge"), ["places", "part"]).select(F.col("id").alias("symbol_id"), "ticket"))
 
 
 def _met_once(touched: DataFrame, by: str) -> DataFrame:

@@ -244,9 +244,9 @@ def ticket_linker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is a commit that touches the files of its parts and names its customer's ticket."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("id"))
     # dealt out by commit as plain rows: sets made before would be larger than the rows
-    files = lines.join(_part_files(spark, sf_dir), "id").select("commit_id", "grp").repartition("commit_id").groupBy("commit_id").agg(F.collect_set("grp").alias("files"))
+    files = lines.join(_part_files(spark, sf_dir).hint("merge"), "id").select("commit_id", "grp").repartition("commit_id").groupBy("commit_id").agg(F.collect_set("grp").alias("files"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.concat(F.lit("Fix PROJ-"), F.col("o_custkey"), F.lit(" from feature-ENG-"), F.col("o_custkey"), F.lit("-branch, see UTF-8, SHA3-256, CVE-2021-44228, xAB-1, AB-1x")).alias("message"))
-    return resolve.link_tickets(orders.join(files, "commit_id"), _part_files(spark, sf_dir))
+    return resolve.link_tickets(orders.join(files.hint("merge"), "commit_id"), _part_files(spark, sf_dir))
 
 
 TICKET_SQL = """

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seekframe.functions import text as T
 from seekframe.operators import audit, fusion, graph, incremental, legs, metrics, packing, resolve, routing, search, structure
+from seekframe.plans import graphs
 
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -185,6 +186,21 @@ def test_tickets_are_not_dealt_out_again_with_their_symbols(spark):
     assert 0 < shuffled() - before < 50_000
 
 
+def test_tickets_broadcast_nothing_that_grows(spark, sf_dir, tmp_path):
+    """Files and shuffled tables of far less than Spark's limit for a broadcast, which says little of the rows that are made of them."""
+    spark.range(100).selectExpr("id AS commit_id", "concat('AB-', id, ' CD-', id % 7) AS message", "array(concat('f', id % 5), 'g') AS files").write.parquet(f"{tmp_path}/commits")
+    # symbols 0 to 9 stand in two files
+    spark.range(210).selectExpr("id % 200 AS id", "IF(id < 100, concat('f', id % 5), 'g') AS grp").write.parquet(f"{tmp_path}/symbols")
+    commits, symbols = (spark.read.parquet(f"{tmp_path}/{t}") for t in ("commits", "symbols"))
+    by_hand, query = resolve.link_tickets(commits, symbols), graphs.ticket_linker(spark, sf_dir)
+    g = {f"AB-{i}" for i in range(100)} | {f"CD-{i}" for i in range(7)}
+    f = {k: {f"AB-{i}" for i in range(100) if i % 5 == k} | {f"CD-{i % 7}" for i in range(100) if i % 5 == k} for k in range(5)}
+    assert rows(by_hand, "symbol_id", "ticket") == sorted((i, t) for i in range(200) for t in (f[i % 5] if 10 <= i < 100 else g))
+    assert query.collect()
+    for ran in (by_hand, query):
+        assert "Broadcast" not in ran._jdf.queryExecution().executedPlan().toString()
+
+
 def test_expansions_and_paths(spark):
     e = edges(spark, [("a", "b"), ("c", "a"), ("b", "d"), ("a", "e"), ("d", "z")])
     ranks = spark.createDataFrame([("b", 0.1), ("c", 0.9), ("e", 0.5), ("d", 1.0)], "id string, rank double")
